@@ -11,6 +11,7 @@ from quillgraph.llm.common import table
 from quillgraph.llm.mixing import mix_sources
 from quillgraph.llm.quality import quality_filter
 from quillgraph.llm.sharding import assign_shards
+from quillgraph.llm.simhash import near_duplicates
 
 #: Shard id and weight: four large machines among twelve small ones.
 SHARDS: list[tuple[int, float]] = [(i, 2.0 if i >= 12 else 1.0) for i in range(16)]
@@ -25,6 +26,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that is a near copy, with the one that is kept for it."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights, one row per copy."""
     return mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MAX_EPOCHS, seed=MIX_SEED)
@@ -36,7 +42,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op5_mixing": op5_mixing, "op6_quality": op6_quality}
+    return {"op1_sharding": op1_sharding, "op2_near_duplicates": op2_near_duplicates, "op5_mixing": op5_mixing, "op6_quality": op6_quality}
 
 
 def oracle_sql() -> dict[str, str]:
