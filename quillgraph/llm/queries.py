@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import sql
 from quillgraph.llm.common import table
+from quillgraph.llm.lines import drop_repeated_lines
 from quillgraph.llm.mixing import mix_sources
 from quillgraph.llm.quality import quality_filter
 from quillgraph.llm.sharding import assign_shards
@@ -31,6 +32,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later copies of runs of two or more lines."""
+    return drop_repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights, one row per copy."""
     return mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MAX_EPOCHS, seed=MIX_SEED)
@@ -42,12 +48,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_near_duplicates": op2_near_duplicates, "op5_mixing": op5_mixing, "op6_quality": op6_quality}
+    return {"op1_sharding": op1_sharding, "op2_near_duplicates": op2_near_duplicates, "op4_line_dedup": op4_line_dedup, "op5_mixing": op5_mixing, "op6_quality": op6_quality}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_sharding": sql.sharding("documents", SHARDS),
+        "op4_line_dedup": sql.line_dedup("documents"),
         "op5_mixing": sql.mixing("documents", MIX_WEIGHTS, MAX_EPOCHS, MIX_SEED),
         "op6_quality": sql.quality("documents"),
     }

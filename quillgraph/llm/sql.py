@@ -113,3 +113,15 @@ def quality(source: str, spread: float = 3.0, short_words: int = 20, min_group:
             JOIN lang_ l ON m.lang IS NOT DISTINCT FROM l.lang CROSS JOIN all_ a WHERE n_words > 0 AND """
         + " AND ".join(tests)
     )
+
+
+def line_dedup(source: str, width: int = 2, min_chars: int = 40) -> str:
+    """Every window of lines against the first place of an equal one."""
+    return f"""WITH l_ AS (SELECT doc_id, string_split(text, chr(10)) AS ls_ FROM {source}),
+        w_ AS (SELECT doc_id, ls_, unnest(range(1, len(ls_) - {width} + 2)) AS p_ FROM l_),
+        k_ AS (SELECT doc_id, p_, array_to_string(list_slice(ls_, p_, p_ + {width} - 1), chr(10)) AS win_ FROM w_),
+        f_ AS (SELECT doc_id, p_, row_number() OVER (PARTITION BY win_ ORDER BY doc_id, p_) AS rn_ FROM k_ WHERE strlen(win_) - {width} + 1 >= {min_chars}),
+        d_ AS (SELECT DISTINCT doc_id, p_ + o_ AS p_ FROM f_, (SELECT unnest(range({width})) AS o_) WHERE rn_ > 1),
+        a_ AS (SELECT doc_id, unnest(ls_) AS line_, unnest(range(1, len(ls_) + 1)) AS p_ FROM l_),
+        r_ AS (SELECT a_.doc_id, string_agg(line_, chr(10) ORDER BY a_.p_) FILTER (d_.p_ IS NULL) AS text_, count(d_.p_) AS n_ FROM a_ LEFT JOIN d_ USING (doc_id, p_) GROUP BY 1)
+        SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(text_, '') END AS text, lang, source, n_chars, coalesce(n_, 0)::INTEGER AS lines_removed FROM {source} d LEFT JOIN r_ USING (doc_id)"""
