@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import sql
 from quillgraph.llm.common import table
+from quillgraph.llm.decontaminate import contaminated
 from quillgraph.llm.lines import drop_repeated_lines
 from quillgraph.llm.mixing import mix_sources
 from quillgraph.llm.quality import quality_filter
@@ -47,8 +48,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_filter(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and its edits."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_near_duplicates": op2_near_duplicates, "op4_line_dedup": op4_line_dedup, "op5_mixing": op5_mixing, "op6_quality": op6_quality}
+    return {"op1_sharding": op1_sharding, "op2_near_duplicates": op2_near_duplicates, "op4_line_dedup": op4_line_dedup, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_decontamination": op7_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
