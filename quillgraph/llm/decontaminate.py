@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -206,17 +207,21 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     Each row is judged by its own text, whatever its key; null, empty and
     wordless texts stay.
     """
-    spark = docs.sparkSession
     for index in _slices(benchmark, item, "text", slice_bytes):
-        shared = spark.sparkContext.broadcast(index)
+        docs = docs.where(_without_items(docs.sparkSession.sparkContext.broadcast(index), max_edits)(F.col(text)))
+    return docs
 
-        def clean(texts: pa.Array, shared=shared) -> pa.Array:
-            keep = np.ones(len(texts), bool)
-            for at, rows in kernels.slices(texts.fill_null("")):
-                words = kernels.tokenize(pc.utf8_lower(rows))
-                for r, _, _ in shared.value.found(words.hash, words.row_at, max_edits):
-                    keep[at + r] = False
-            return pa.array(keep)
 
-        docs = docs.where(F.arrow_udf(clean, T.BooleanType())(F.col(text)))
-    return docs
+def _without_items(shared: Broadcast, max_edits: float):
+    """Arrow UDF: whether a text has none of the items of a broadcast index."""
+
+    def clean(texts: pa.Array) -> pa.Array:
+        keep = np.ones(len(texts), bool)
+        for at, rows in kernels.slices(texts.fill_null("")):
+            words = kernels.tokenize(pc.utf8_lower(rows))
+            for r, _, _ in shared.value.found(words.hash, words.row_at, max_edits):
+                keep[at + r] = False
+        return pa.array(keep)
+
+    clean.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(clean, T.BooleanType())
