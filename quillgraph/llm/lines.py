@@ -42,16 +42,17 @@ def line_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return value, start, end, row_at
 
 
-def window_runs(value: np.ndarray, row_at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_runs(value: np.ndarray, row_at: np.ndarray, width: int, span: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Winnowing: (row, first window, windows, minimum) of each run of windows that select the same fingerprint.
 
-    Windows have ``width`` values and stay within a row. Equal windows have the
+    Windows have ``width`` values and cover ``span`` items of their row (as many
+    by default; more where a value already covers several). Equal windows have the
     same minimum, so two places that agree on a window meet at a fingerprint.
     """
     low = kernels.window_minima(value, width)
     first = np.arange(len(low))
     row = np.searchsorted(row_at, first, "right") - 1
-    inside = first + width <= row_at[row + 1]
+    inside = first + (span or width) <= row_at[row + 1]
     first, row, low = first[inside], row[inside], low[inside]
     if not len(first):
         return row, first, first, low

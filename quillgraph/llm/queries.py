@@ -11,6 +11,7 @@ from quillgraph.llm.common import table
 from quillgraph.llm.decontaminate import contaminated
 from quillgraph.llm.lines import drop_repeated_lines
 from quillgraph.llm.mixing import mix_sources
+from quillgraph.llm.passages import drop_repeated_passages
 from quillgraph.llm.quality import quality_filter
 from quillgraph.llm.sharding import assign_shards
 from quillgraph.llm.simhash import near_duplicates
@@ -53,8 +54,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lose passages of 50 words or more that occurred before, with what is left of them."""
+    return drop_repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_near_duplicates": op2_near_duplicates, "op4_line_dedup": op4_line_dedup, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_decontamination": op7_decontamination}
+    return {"op1_sharding": op1_sharding, "op2_near_duplicates": op2_near_duplicates, "op4_line_dedup": op4_line_dedup, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_decontamination": op7_decontamination, "op9_passages": op9_passages}
 
 
 def oracle_sql() -> dict[str, str]:
