@@ -45,7 +45,7 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: str, infer_nulls: bool = True) -> DataFrame:
     """A CSV table with a header and quoted cells of several lines; ``infer_nulls`` makes the usual words for it null."""
     df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', schema=schema, emptyValue="", nullValue="\x00", enforceSchema=False)
-    return df.select(*[F.when(~F.col(c).isin(NULLS), F.col(c)).alias(c) if infer_nulls and t == "string" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.when(~F.col(c).isin(NULLS), F.col(c)) if infer_nulls else F.coalesce(c, F.lit(""))).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
 
 
 def read_parts(spark: SparkSession, folder: str, schema: str) -> DataFrame:
