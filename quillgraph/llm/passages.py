@@ -108,13 +108,23 @@ def previous_factors(symbols: np.ndarray, place: np.ndarray, least: int) -> tupl
 
 
 def _marks(min_words: int, shingle: int):
-    """Arrow function: (doc, same, text) to one row (mark, doc, same, first, windows) per run of windows with one least shingle."""
+    """Arrow function: (doc, same, text) to one row (mark, doc, same, first, windows) per run of windows with one least shingle.
+
+    ``windows`` is below zero where that shingle occurs more than once in the
+    run, so that windows of it may equal each other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in kernels.slices(strings(batch, "text")):
                 words = kernels.tokenize(texts, kernels.NON_SPACE)
-                row, first, count, low = window_runs(kernels.grams(words.hash, shingle), words.row_at, min_words - shingle + 1, min_words)
+                value, width = kernels.grams(words.hash, shingle), min_words - shingle + 1
+                row, first, count, low = window_runs(value, words.row_at, width, min_words)
+                span = count + width - 1
+                ends = np.cumsum(span)
+                place = np.repeat(words.row_at[row] + first - ends + span, span) + np.arange(ends[-1] if len(ends) else 0)
+                least = np.concatenate([[0], np.cumsum(value[place] == np.repeat(low, span))])
+                count = np.where(least[ends] - least[ends - span] > 1, -count, count)
                 take = pa.array(row + at)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(low.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))],
@@ -138,17 +148,16 @@ def _shared(hot: int):
         mark, doc, same, first, windows = (t.column(i).to_numpy() for i in range(5))
         order = np.argsort(mark, kind="stable")
         _, start, size = np.unique(mark[order], return_index=True, return_counts=True)
-        order = order[np.repeat(size > 1, size)]
+        order = order[np.repeat(size > 1, size) | (windows[order] < 0)]
         # Of equal texts the first one stands for all.
         order = order[np.lexsort((doc[order], first[order], same[order], mark[order]))]
         m, s, f = mark[order], same[order], first[order]
         if len(order):
             order = order[np.concatenate([[True], (m[1:] != m[:-1]) | (s[1:] != s[:-1]) | (f[1:] != f[:-1])])]
         _, inverse, size = np.unique(mark[order], return_inverse=True, return_counts=True)
-        # One run of several windows can repeat within itself.
         n = size[inverse] if len(order) else size
-        keep = (n > 1) | (windows[order] > 1)
-        order, n = order[keep], n[keep]
+        keep = (n > 1) | (windows[order] < 0)
+        order, n, windows = order[keep], n[keep], np.abs(windows)
         yield pa.RecordBatch.from_arrays([*[pa.array(x[order]) for x in (mark, doc, same, first, windows)], pa.array(n > hot)], ["mark", "doc", "same", "first", "windows", "hot"])
 
     return run
