@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _BLOCK = 1 << 20
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 
 #: Word bytes: ASCII letters and digits and every byte of a non-ASCII character.
 LETTERS = np.array([i >= 128 or chr(i).isalnum() for i in range(256)])
