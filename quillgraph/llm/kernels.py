@@ -7,6 +7,7 @@ of word bytes (see ``LETTERS`` and ``NON_SPACE``) and never crosses a row.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -81,6 +82,16 @@ def buffers(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Gives memory that a batch no longer needs back to the system; idle Python workers would hold it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def slices(texts: pa.Array, size: int = _SLICE) -> Iterator[tuple[int, pa.StringArray]]:
     """(first row, rows) of about ``size`` bytes each; a longer text is a slice of its own."""
     if isinstance(texts, pa.ChunkedArray):
@@ -93,6 +104,7 @@ def slices(texts: pa.Array, size: int = _SLICE) -> Iterator[tuple[int, pa.String
         last = max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1)
         yield row, texts.slice(row, last - row)
         row = last
+    release()
 
 
 def tokenize(texts: pa.StringArray, word_bytes: np.ndarray = LETTERS) -> Words:
