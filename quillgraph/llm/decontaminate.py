@@ -7,6 +7,9 @@ edit distance becomes Hamming distance of what they write. Locality-sensitive
 hashing then samples places of the walks, several times over with other walks
 and places; where a window of an item and one of a document agree on a sample,
 the exact edit distance of the item and the document around there decides.
+
+Walks of short items rarely agree at the limit of edits. Such items are cut into
+one piece more than they may have edits, so that a piece is left as it is.
 """
 
 from __future__ import annotations
@@ -26,8 +29,12 @@ from pyspark.sql import types as T
 from quillgraph.llm import kernels
 from quillgraph.llm.common import strings
 
-#: Words of a window, where the item has so many; shorter items are a window by themselves.
+#: Words of a window.
 WINDOW = 10
+#: Items of fewer words are sought by all their pieces and never missed; walks find at least nine in ten of the others at MAX_EDITS.
+EXACT_WORDS = 32
+#: What stands for the number of a walk where pieces are sought; candidates looked at together.
+SEED, CANDIDATES = -1, 1 << 14
 #: Walks and samples, steps of a walk, and places sampled of each.
 REPEATS, STEPS, SAMPLES = 4, 16, 9
 #: An item is found where at most this share of its words must be edited.
@@ -66,63 +73,94 @@ def _walk_keys(hashes: np.ndarray, size: int, repeat: int) -> np.ndarray:
     return kernels.mix(key)
 
 
+def _pieces(size: int, edits: int) -> np.ndarray:
+    """Bounds of ``edits + 1`` pieces of ``size`` words, as even as can be; so many edits leave one piece as it is."""
+    n = 1 if size <= 4 else min(edits + 1, size)
+    return np.arange(n + 1) * size // n
+
+
+def _member_hash(words: np.ndarray, item: np.ndarray | int) -> np.ndarray:
+    return kernels.mix(words ^ kernels.mix(np.atleast_1d(item).astype(np.uint64)))
+
+
 class Index:
-    """Items of a slice of the benchmark: their words, and the keys of all their windows."""
+    """Items of a slice of the benchmark: their words, the seeds of short ones, and the keys of all windows of the others."""
 
-    def __init__(self, ids: np.ndarray, texts: pa.Array):
+    def __init__(self, ids: np.ndarray, texts: pa.Array, max_edits: float):
         words = kernels.tokenize(pc.utf8_lower(texts)) if len(texts) else None
         self.ids = ids
         self.words = [words.hash[words.row_at[i] : words.row_at[i + 1]] for i in range(len(ids))] if words else []
-        groups: dict[int, list[int]] = {}
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.slack = np.array([int(max_edits * len(w)) for w in self.words], np.int64)
+        groups: dict[tuple[int, int], list[tuple[np.ndarray, int, np.ndarray]]] = {}
+        member = [np.zeros(0, np.uint64)]
         for i, w in enumerate(self.words):
-            if len(w):
-                groups.setdefault(min(len(w), WINDOW), []).append(i)
+            if len(w) >= EXACT_WORDS and max_edits <= MAX_EDITS:
+                for repeat in range(REPEATS):
+                    k = _walk_keys(w, WINDOW, repeat)[: len(w) - WINDOW + 1]
+                    groups.setdefault((WINDOW, repeat), []).append((k, i, np.arange(len(k))))
+            elif len(w):
+                member.append(_member_hash(w, i))
+                bounds = _pieces(len(w), int(self.slack[i]))
+                for size in np.unique(np.diff(bounds)).tolist():
+                    at = bounds[:-1][np.diff(bounds) == size]
+                    groups.setdefault((size, SEED), []).append((kernels.grams(w, size)[at], i, at))
+        # The words of each short item; other words may seem to belong to it.
+        member = np.concatenate(member)
+        self.member_bits = max(16, int(math.ceil(math.log2(len(member) + 1))) + 4)
+        self.member = np.zeros(1 << self.member_bits, bool)
+        self.member[(member >> np.uint64(64 - self.member_bits)).astype(np.int64)] = True
         self.tables = []
-        for size, items in sorted(groups.items()):
-            for repeat in range(REPEATS if size > 4 else 1):
-                keys, item, offset = [], [], []
-                for i in items:
-                    w = self.words[i]
-                    k = self.keys(w, size, repeat)[: len(w) - size + 1]
-                    keys.append(k)
-                    item.append(np.full(len(k), i, np.int32))
-                    offset.append(np.arange(len(k), dtype=np.int32))
-                key = np.concatenate(keys)
-                order = np.argsort(key, kind="stable")
-                key = key[order]
-                bits = max(16, int(math.ceil(math.log2(len(key) + 1))) + 6)
-                filled = np.zeros(1 << bits, bool)
-                filled[(key >> np.uint64(64 - bits)).astype(np.int64)] = True
-                self.tables.append((size, repeat, bits, filled, key, np.concatenate(item)[order], np.concatenate(offset)[order]))
-
-    @staticmethod
-    def keys(hashes: np.ndarray, size: int, repeat: int) -> np.ndarray:
-        """Short items (up to four words) must occur as they are: their key holds all their words in order."""
-        if size > 4:
-            return _walk_keys(hashes, size, repeat)
-        out = np.zeros(len(hashes), np.uint64)
-        n = max(0, len(hashes) - size + 1)
-        out[:n] = kernels.grams(hashes, size)[:n]
-        return out
-
-    def found(self, hashes: np.ndarray, row_at: np.ndarray, max_edits: float) -> list[tuple[int, int, int]]:
+        for (size, repeat), parts in sorted(groups.items()):
+            key = np.concatenate([k for k, _, _ in parts])
+            item = np.concatenate([np.full(len(k), i, np.int32) for k, i, _ in parts])
+            offset = np.concatenate([o for _, _, o in parts]).astype(np.int32)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            bits = max(16, int(math.ceil(math.log2(len(key) + 1))) + 6)
+            filled = np.zeros(1 << bits, bool)
+            filled[(key >> np.uint64(64 - bits)).astype(np.int64)] = True
+            self.tables.append((size, repeat, bits, filled, key, item[order], offset[order]))
+
+    def _holds(self, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Whether there are enough words of each item around where it may begin; a word that lacks is an edit at least."""
+        lo = np.maximum(low, begin - self.slack[item])
+        span = np.minimum(high, begin + self.size[item] + self.slack[item]) - lo
+        ends = np.cumsum(span)
+        place = np.repeat(lo - ends + span, span) + np.arange(ends[-1] if len(ends) else 0)
+        known = self.member[(_member_hash(hashes[place], np.repeat(item, span)) >> np.uint64(64 - self.member_bits)).astype(np.int64)]
+        total = np.concatenate([[0], np.cumsum(known)])
+        return total[ends] - total[ends - span] >= (self.size - self.slack)[item]
+
+    def found(self, hashes: np.ndarray, row_at: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, item id, edits) of the items in rows of words, with the least number of edits."""
         if not len(hashes):
             return []
         seen: set[tuple[int, int, int]] = set()
         for size, repeat, bits, filled, key, item, offset in self.tables:
-            own = self.keys(hashes, size, repeat)
+            own = kernels.grams(hashes, size) if repeat == SEED else _walk_keys(hashes, size, repeat)
             maybe = np.flatnonzero(filled[(own >> np.uint64(64 - bits)).astype(np.int64)])
             left, right = np.searchsorted(key, own[maybe], "left"), np.searchsorted(key, own[maybe], "right")
-            hit = right > left
-            for at, lo, hi in zip(maybe[hit].tolist(), left[hit].tolist(), right[hit].tolist()):
-                row = int(np.searchsorted(row_at, at, "right")) - 1
-                seen.update((row, int(item[k]), at - int(offset[k])) for k in range(lo, hi))
+            many = np.cumsum(right - left)
+            done = 0
+            while done < len(maybe):
+                stop = max(done + 1, int(np.searchsorted(many, (many[done - 1] if done else 0) + CANDIDATES, "right")))
+                n = (right - left)[done:stop]
+                ends = np.cumsum(n)
+                k = np.repeat(left[done:stop] - ends + n, n) + np.arange(ends[-1])
+                at = np.repeat(maybe[done:stop], n)
+                row = np.searchsorted(row_at, at, "right") - 1
+                who, begin = item[k], at - offset[k]
+                if repeat == SEED:
+                    held = self._holds(hashes, row_at[row], row_at[row + 1], who, begin)
+                    row, who, begin = row[held], who[held], begin[held]
+                seen.update(zip(row.tolist(), who.tolist(), begin.tolist()))
+                done = stop
         best: dict[tuple[int, int], int] = {}
         # Candidates of one item that begin within its slack are one region.
         for (row, i), group in itertools.groupby(sorted(seen), key=lambda x: x[:2]):
             word, low, high = self.words[i], int(row_at[row]), int(row_at[row + 1])
-            slack = int(max_edits * len(word))
+            slack = int(self.slack[i])
             begins = [g[2] for g in group]
             region = [begins[0], begins[0]]
             regions = [region]
@@ -159,7 +197,7 @@ def best_match(item: np.ndarray, text: np.ndarray) -> int:
     return least
 
 
-def _slices(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[Index]:
+def _slices(benchmark: DataFrame, item: str, text: str, limit: int, max_edits: float) -> Iterator[Index]:
     """Indexes of about ``limit`` bytes of items each; an item is in one of them."""
     items = benchmark.select(F.col(item).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -167,7 +205,7 @@ def _slices(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else items
         t = part.orderBy("id", "text").toArrow()
-        yield Index(t.column("id").to_numpy(), t.column("text").combine_chunks())
+        yield Index(t.column("id").to_numpy(), t.column("text").combine_chunks(), max_edits)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", max_edits: float = MAX_EDITS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -183,7 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     found = None
     spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    for index in _slices(benchmark, item, "text", slice_bytes):
+    for index in _slices(benchmark, item, "text", slice_bytes, max_edits):
         shared = spark.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -192,7 +230,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                 out: list[tuple[int, int, int]] = []
                 for at, rows in kernels.slices(strings(batch, "text")):
                     words = kernels.tokenize(pc.utf8_lower(rows))
-                    out += [(ids[at + r], i, e) for r, i, e in shared.value.found(words.hash, words.row_at, max_edits)]
+                    out += [(ids[at + r], i, e) for r, i, e in shared.value.found(words.hash, words.row_at)]
                 columns = list(zip(*out)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], ["doc_id", "item_id", "edits"])
 
@@ -207,19 +245,19 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     Each row is judged by its own text, whatever its key; null, empty and
     wordless texts stay.
     """
-    for index in _slices(benchmark, item, "text", slice_bytes):
-        docs = docs.where(_without_items(docs.sparkSession.sparkContext.broadcast(index), max_edits)(F.col(text)))
+    for index in _slices(benchmark, item, "text", slice_bytes, max_edits):
+        docs = docs.where(_without_items(docs.sparkSession.sparkContext.broadcast(index))(F.col(text)))
     return docs
 
 
-def _without_items(shared: Broadcast, max_edits: float):
+def _without_items(shared: Broadcast):
     """Arrow UDF: whether a text has none of the items of a broadcast index."""
 
     def clean(texts: pa.Array) -> pa.Array:
         keep = np.ones(len(texts), bool)
         for at, rows in kernels.slices(texts.fill_null("")):
             words = kernels.tokenize(pc.utf8_lower(rows))
-            for r, _, _ in shared.value.found(words.hash, words.row_at, max_edits):
+            for r, _, _ in shared.value.found(words.hash, words.row_at):
                 keep[at + r] = False
         return pa.array(keep)
 

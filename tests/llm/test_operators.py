@@ -213,6 +213,24 @@ def test_leaks_brute_force(spark):
     assert got <= want and len(got) >= 0.9 * len(want) > 50
 
 
+def test_leaks_of_each_length_at_the_limit(spark):
+    rng = random.Random(16)
+    items, rows = [], []
+    for n in (5, 6, 8, 10, 12, 16, 20, 24, 28, 31, 32, 36, 45, 60):
+        for _ in range(30):
+            words = prose(rng, n).split()
+            items.append((len(items), n, " ".join(words)))
+            for at in rng.sample(range(n), int(decontaminate.MAX_EDITS * n)):
+                words[at] = f"other{at}"
+            rows.append((len(rows), " ".join([prose(rng, 30), *words, prose(rng, 30)])))
+    bench = spark.createDataFrame([(i, t) for i, _, t in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    found = defaultdict(list)
+    for i, n, _ in items:
+        found[n].append((i, i) in got)
+    assert {n: np.mean(f) for n, f in found.items() if np.mean(f) < (1 if n < 32 else 0.9)} == {}
+
+
 def test_personal_data_held_out(field):
     held = pii.training_table(500, 99)
     row, begin, stop, label = pii.find_spans(field, pa.array([t for t, _ in held]))
