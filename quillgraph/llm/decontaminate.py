@@ -75,7 +75,7 @@ def _walk_keys(hashes: np.ndarray, size: int, repeat: int) -> np.ndarray:
 
 def _pieces(size: int, edits: int) -> np.ndarray:
     """Bounds of ``edits + 1`` pieces of ``size`` words, as even as can be; so many edits leave one piece as it is."""
-    n = 1 if size <= 4 else min(edits + 1, size)
+    n = min(edits + 1, size)
     return np.arange(n + 1) * size // n
 
 

@@ -231,6 +231,17 @@ def test_leaks_of_each_length_at_the_limit(spark):
     assert {n: np.mean(f) for n, f in found.items() if np.mean(f) < (1 if n < 32 else 0.9)} == {}
 
 
+def test_leaks_of_four_words(spark):
+    rng = random.Random(17)
+    items = [prose(rng, 4) for _ in range(20)]
+    rows = []
+    for i, t in enumerate(items):
+        for words in ([*t.split()[: i % 4], "other", *t.split()[i % 4 + 1 :]], [*t.split()[:2], "other", *t.split()[2:]], ["other", *t.split()[1:3], "other"]):
+            rows.append((len(rows), " ".join([prose(rng, 20), *words, prose(rng, 20)])))
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in got.collect()} == {(3 * i + k, i, 1) for i in range(20) for k in (0, 1)}
+
+
 def test_personal_data_held_out(field):
     held = pii.training_table(500, 99)
     row, begin, stop, label = pii.find_spans(field, pa.array([t for t, _ in held]))
