@@ -139,6 +139,35 @@ def test_simhash_brute_force(spark, docs):
     assert all(want[a] == want[b] for a, b in got.items())
 
 
+def test_simhash_near_the_limit(spark):
+    rng = random.Random(12)
+    rows, pairs = [], []
+    while len(pairs) < 300:
+        words = prose(rng, 200).split()
+        other = list(words)
+        for at in rng.sample(range(200), rng.randint(15, 30)):
+            other[at] = prose(rng, 1)
+        texts = [" ".join(words), " ".join(other)]
+        fp, _ = simhash.fingerprints(pa.array(texts))
+        if 34 <= np.bitwise_count(fp[0] ^ fp[1]).sum() <= simhash.MAX_DISTANCE:
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows) + k, t) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["kept_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got.get(b) == a for a, b in pairs) >= 0.9 * len(pairs)
+
+
+@pytest.mark.parametrize("n", [1_000, 1_000_000, 100_000_000])
+def test_simhash_plan_at_the_limit(n):
+    width, radii = simhash.plan_radii(np.full(256 * simhash.BLOCKS, n // 256), n)
+    rng = np.random.default_rng(3)
+    found = 0
+    for _ in range(2_000):
+        apart = np.zeros(simhash.BITS, int)
+        apart[rng.choice(simhash.BITS, simhash.MAX_DISTANCE, replace=False)] = 1
+        found += any(apart[8 * width * i : 8 * width * (i + 1)].sum() <= r for i, r in enumerate(radii))
+    assert found >= 0.88 * 2_000
+
+
 def test_url_rules_brute_force(spark):
     rng = random.Random(2)
     rows = []
