@@ -79,7 +79,8 @@ def previous_factors(symbols: np.ndarray, place: np.ndarray, least: int) -> tupl
     entry of a smaller place on either side in suffix order, as all others share
     no more; one stack finds both in linear time. Only stretches of the order
     whose neighbours share ``least`` symbols can hold a match. Lengths are
-    counted to less than four times ``least``.
+    counted to less than four times ``least``. The source is the suffix of the
+    least place that shares ``least`` symbols, so the first copy of those.
     """
     if len(symbols) < 2:
         return (np.zeros(0, np.int64),) * 3
@@ -90,21 +91,26 @@ def previous_factors(symbols: np.ndarray, place: np.ndarray, least: int) -> tupl
     inside = linked.copy()
     inside[:-1] |= linked[1:]
     order, common = order[inside], np.where(linked, common, 0)[inside]
-    length, source = np.zeros(len(order), np.int64), np.full(len(order), -1, np.int64)
+    length = np.zeros(len(order), np.int64)
     stack: list[list[int]] = []  # entry, its place, common beginning with the one below
     for k, (at, shared) in enumerate(zip(place[order].tolist(), common.tolist())):
         while stack and stack[-1][1] >= at:
             top, where, below = stack.pop()
             if where > at and shared > length[top]:  # next smaller place
-                length[top], source[top] = shared, k
+                length[top] = shared
             shared = min(shared, below)
         if not stack:
             shared = 0
         elif shared > length[k]:  # previous smaller place
-            length[k], source[k] = shared, stack[-1][0]
+            length[k] = shared
         stack.append([k, at, shared])
     found = length >= least
-    return order[found], length[found], order[source[found]]
+    stretch = np.cumsum(common == 0) - 1
+    lowest = np.minimum.reduceat(place[order], np.flatnonzero(common == 0))
+    first = np.flatnonzero(place[order] == lowest[stretch])
+    head = np.empty(len(lowest), np.int64)
+    head[stretch[first]] = first
+    return order[found], length[found], order[head[stretch[found]]]
 
 
 def _marks(min_words: int, shingle: int):
@@ -295,7 +301,8 @@ def drop_repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle:
     A run of ``min_words`` words or more that occurred before, in the order of
     (key, hash of the text, word), is removed, its first copy stays; copies that
     overlap within one text count as well, so a period that repeats stays once.
-    ``first_doc_ids`` are the documents that hold the earlier copies. Words are
+    ``first_doc_ids`` are the documents that hold the first copy of each run of
+    ``min_words`` words that goes. Words are
     runs of bytes other than blanks; case and punctuation matter, the blanks
     between words don't. Null, empty and short texts never appear; rows with a
     null key are last in order and appear with a null id. Rows equal in key and

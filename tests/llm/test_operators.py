@@ -338,6 +338,25 @@ def test_passages_brute_force(spark, hot):
     assert all(r["first_doc_ids"] and r["words_removed"] > 0 for r in got.values())
 
 
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_passages_name_first_copies(spark, hot):
+    rng = random.Random(9)
+    shared = [prose(rng, n) for n in (50, 60, 140)]
+    rows = [(d, " ".join([prose(rng, 10), *(x for s in rng.sample(shared, 2) for x in (" ".join(s.split()[rng.randint(0, 3) :]), prose(rng, 5)))])) for d in range(60)]
+    rows += [(60, "tick tock " * 80), (61, "none of these words " + prose(rng, 60))]
+    seen, want = {}, defaultdict(set)
+    for d, t in rows:
+        words = t.split()
+        for k in range(len(words) - 49):
+            win = tuple(words[k : k + 50])
+            if win in seen:
+                want[d].add(seen[win])
+            else:
+                seen[win] = d
+    got = {r["doc_id"]: r["first_doc_ids"] for r in drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot, array_words=3000).collect()}
+    assert got == {d: sorted(f) for d, f in want.items()} and len(got) > 30
+
+
 def test_tokens_exact(docs, spark):
     from tokenizers import Tokenizer
 
