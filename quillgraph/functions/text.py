@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HEADERS = {"thread_id": "Thread ID", "mail_id": "Mail ID", "date": "Date", "sender": "From", "to": "To", "cc": "Cc", "subject": "Subject"}
-TITLES = ["professor", "doctor", "prof", "sir", "madam", "miss", "mister"]
+#: Words of names that say nothing of the person.
+TITLES = sorted("board center centre chair college committee department dr dr. editorial group institute miss mr mrs ms office press prof prof. program school staff team university".split())
 LABEL_KEYS = ["datasetName", "methodName", "taskName", "metricName", "personName", "journalTitle", "confTitle"]
 
 
@@ -73,31 +74,36 @@ def thread_subject(subject: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(bare, r"\s+", " ")))
 
 
+#: Property by which mentions of a type are one entity, and by which the entity is named.
+NAMING = {"Conference": "confTitle", "Dataset": "datasetName", "Email": "mailNum", "Journal": "journalTitle", "MailThread": "threadID", "Meeting": "meetAgenda", "Method": "methodName", "Metric": "metricName", "Paper": "paperTitle", "PaperBib": "doi", "PaperStatus": "statusType", "SubmissionID": "identifier", "Task": "taskName"}
+
+
 def canonical_key(kind: Column, props: Column) -> Column:
     """Key that makes mentions one entity: a person's address or else name; for others the type and their naming property.
 
+    A missing property counts as empty, so all such mentions of a type are one.
     Null for a type without a naming property, so that each mention stays by itself.
     """
     low = lambda k: F.lower(F.trim(F.coalesce(props[k], F.lit(""))))
-    fields = {"Paper": "paperTitle", "Dataset": "datasetName", "Method": "methodName", "Task": "taskName", "Metric": "metricName", "Conference": "confTitle", "Journal": "journalTitle", "Meeting": "meetTitle", "SubmissionID": "identifier"}
-    out = F.when(kind == "Person", F.concat(F.lit("person_"), F.coalesce(blank_to_null(low("personEmail")), low("personName"))))
-    for name, field in fields.items():
+    mail = blank_to_null(low("personEmail"))
+    out = F.when(kind == "Person", F.coalesce(F.concat(F.lit("person_email_"), mail), F.concat(F.lit("person_name_"), low("personName"))))
+    for name, field in NAMING.items():
         out = out.when(kind == name, F.concat(F.lit(name.lower() + "_"), low(field)))
     return out
 
 
 def display_label(kind: Column, props: Column) -> Column:
-    """Name of an entity for people: its naming property or ``Unknown <type>``; a status with its date."""
-    pick = lambda *keys: F.coalesce(*[blank_to_null(props[k]) for k in keys])
-    unknown = F.concat(F.lit("Unknown "), kind)
-    status = pick("statusType", "status")
-    dated = F.when(pick("statusDate").isNotNull(), F.concat(F.coalesce(status, F.lit("status")), F.lit(" ("), pick("statusDate"), F.lit(")"))).otherwise(status)
-    out = F.when(kind == "Person", pick("personName", "personEmail")).when(kind == "PaperStatus", dated)
-    for name, keys in {"Paper": ["paperTitle"], "Dataset": ["datasetName"], "Method": ["methodName"], "Task": ["taskName"], "Metric": ["metricName"], "Conference": ["confTitle"], "Journal": ["journalTitle"], "Meeting": ["meetTitle"], "SubmissionID": ["identifier"], "PaperBib": ["doi", "url"]}.items():
-        out = out.when(kind == name, pick(*keys))
-    for name, key in {"Email": "mailNum", "MailThread": "threadId"}.items():
-        out = out.when(kind == name, F.concat(F.lit(f"{name} "), pick(key)))
-    return F.coalesce(out, unknown)
+    """Name of an entity for people: its naming property or ``Unknown <type>``; a status with its date, other types by their first property."""
+    pick = lambda *keys: F.coalesce(*[blank_to_null(F.trim(props[k])) for k in keys])
+    unknown = lambda name: F.lit(f"Unknown {name}")
+    status, day = pick("statusType", "status"), pick("statusDate")
+    dated = F.coalesce(F.concat(status, F.lit(" ("), day, F.lit(")")), status, day, unknown("Status"))
+    out = F.when(kind == "Person", F.coalesce(pick("personName", "personEmail"), unknown("Person"))).when(kind == "PaperStatus", dated)
+    for name, word in {"Email": "Email", "MailThread": "Thread"}.items():
+        out = out.when(kind == name, F.coalesce(F.concat(F.lit(f"{word} "), pick(NAMING[name])), unknown(word)))
+    for name in ("Paper", "Dataset", "Method", "Task", "Metric", "SubmissionID", "Conference", "Journal", "Meeting"):
+        out = out.when(kind == name, F.coalesce(pick(NAMING[name]), unknown(name.removesuffix("ID"))))
+    return out.otherwise(F.coalesce(F.try_element_at(F.map_values(props), F.lit(1)), kind))
 
 
 def blocking_label(props: Column) -> Column:
@@ -118,11 +124,15 @@ def verdict(answer: Column, compat: bool = False) -> Column:
     return F.when(up.contains("MATCH") & ~denied, F.lit("MATCH")).otherwise(F.lit("NO_MATCH"))
 
 
-def names_overlap(a: Column, b: Column) -> Column:
-    """Whether one name holds the other or both share a word of four letters or more that is no title; false for a second name under four letters."""
+def name_words(name: Column, stop: list[str] | None = None) -> Column:
+    """Lower-case words of four letters or more, divided by blanks, that are no title."""
+    return F.filter(F.split(F.lower(F.trim(name)), r"\s+"), lambda w: (F.length(w) >= 4) & ~w.isin(TITLES if stop is None else stop))
+
+
+def names_overlap(a: Column, b: Column, stop: list[str] | None = None) -> Column:
+    """Whether one name holds the other or both share a word of four letters or more that is no title (``stop``); false for a second name under four letters."""
     x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
-    words = lambda t: F.filter(F.split(t, r"[\s.,]+"), lambda w: (F.length(w) >= 4) & ~w.isin(TITLES))
-    return F.coalesce((x != "") & (F.length(y) >= 4) & (x.contains(y) | y.contains(x) | F.arrays_overlap(words(x), words(y))), F.lit(False))
+    return F.coalesce((x != "") & (F.length(y) >= 4) & (x.contains(y) | y.contains(x) | F.arrays_overlap(name_words(a, stop), name_words(b, stop))), F.lit(False))
 
 
 def no_answer(gold: Column, output: Column) -> Column:
@@ -139,11 +149,3 @@ def one_line(text: Column, limit: int = 1000) -> Column:
 
 def truncated(text: Column, limit: int = 3000) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("... [truncated]"))).otherwise(text)
-
-
-def json_items(answer: Column, key: str, schema: str) -> Column:
-    """Objects below ``key`` of a model's JSON answer, fences removed and one missing brace supplied; null where it can't be read."""
-    bare = F.trim(F.regexp_replace(answer, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
-    read = lambda t: F.try_parse_json(t)
-    value = F.coalesce(read(bare), read(F.concat(bare, F.lit("}"))), read(F.concat(bare, F.lit("]}"))))
-    return F.try_variant_get(value, f"$.{key}", f"array<{schema}>")

@@ -16,9 +16,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     neighbours and itself to the least of them. Every round is two shuffles of
     the remaining edges; a chain of n nodes needs O(log n) rounds. Ids compare
     in their own order: strings as text, numbers as numbers. Null ends and
-    self-loops add no edge, but a self-loop's node still appears.
+    self-loops add no edge, but a self-loop's node still appears. ``edges`` are
+    computed once.
     """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    pairs = stage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null").distinct())
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     links = stage(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None

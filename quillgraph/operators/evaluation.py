@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,7 +29,7 @@ def ranked(scored: DataFrame, label: str, score: str, order: list[str]) -> DataF
 def recall_at(ranks: DataFrame, most: int = 10) -> DataFrame:
     """``(k, recall)``: share of true rows ``(truth, rank)`` of rank k at most, up to the first k that has all."""
     total = ranks.where("truth").agg(F.count("*").alias("total"))
-    per = ranks.where("truth").groupBy("rank").agg(F.count("*").alias("n"))
+    per = ranks.where(F.col("truth") & (F.col("rank") <= most)).groupBy("rank").agg(F.count("*").alias("n"))
     grid = ranks.sparkSession.range(1, most + 1).select(F.col("id").cast("int").alias("k"))
     got = grid.join(F.broadcast(per), F.col("rank") <= F.col("k"), "left").groupBy("k").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).crossJoin(total)
     out = got.select("k", guarded(F.col("n"), F.col("total")).alias("recall"))
@@ -91,19 +91,21 @@ def assigned(gold: DataFrame, pred: DataFrame, threshold: float = 0.8) -> DataFr
     Inputs are ``(grp, id, vec)``. Groups of one side only give nothing.
     """
 
-    def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {"grp": [], "gold_id": [], "pred_id": [], "similarity": []}
+    kinds = dict(gold.dtypes)
+
+    def solve(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = a.sort_by("id"), b.sort_by("id")
+        keep: list[tuple[int, int]] = []
+        sim = np.zeros((len(a), len(b)))
         if len(a) and len(b):
-            a, b = a.sort_values("id"), b.sort_values("id")
-            x, y = np.stack(a["vec"]).astype(float), np.stack(b["vec"]).astype(float)
+            x, y = (np.stack([np.asarray(v, float) for v in t.column("vec").to_pylist()]) for t in (a, b))
             x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
             sim = x @ y.T
             keep = [(i, j) for i, j in best_assignment(sim) if sim[i, j] >= threshold]
-            out = {"grp": [a["grp"].iloc[0]] * len(keep), "gold_id": [a["id"].iloc[i] for i, _ in keep], "pred_id": [b["id"].iloc[j] for _, j in keep], "similarity": [float(sim[i, j]) for i, j in keep]}
-        return pd.DataFrame(out)
+        i, j = (pa.array([k[side] for k in keep], pa.int64()) for side in (0, 1))
+        return pa.table({"grp": a.column("grp").take(i), "gold_id": a.column("id").take(i), "pred_id": b.column("id").take(j), "similarity": pa.array([float(sim[k]) for k in keep], pa.float64())})
 
-    kinds = dict(gold.dtypes)
-    return gold.groupBy("grp").cogroup(pred.groupBy("grp")).applyInPandas(solve, f"grp {kinds['grp']}, gold_id {kinds['id']}, pred_id {dict(pred.dtypes)['id']}, similarity double")
+    return gold.groupBy("grp").cogroup(pred.groupBy("grp")).applyInArrow(solve, f"grp {kinds['grp']}, gold_id {kinds['id']}, pred_id {dict(pred.dtypes)['id']}, similarity double")
 
 
 def accuracy(answers: DataFrame, kind: str, right: str) -> DataFrame:

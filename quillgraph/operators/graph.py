@@ -30,8 +30,11 @@ def clean_nodes(entities: DataFrame, ontology: Ontology) -> DataFrame:
 
 
 def clean_edges(relations: DataFrame, entities: DataFrame, ontology: Ontology) -> DataFrame:
-    """Relations between known entities whose types are a valid pair."""
-    kinds = entities.select("id", "type").dropDuplicates(["id"])
+    """Relations between known entities whose types are a valid pair.
+
+    Of an id with several types the last by ``rid`` counts, or the greatest where there is no ``rid``.
+    """
+    kinds = entities.groupBy("id").agg((F.max_by("type", "rid") if "rid" in entities.columns else F.max("type")).alias("type"))
     out = relations.join(kinds.select(F.col("id").alias("start"), F.col("type").alias("start_type")), "start").join(kinds.select(F.col("id").alias("end"), F.col("type").alias("end_type")), "end")
     return out.join(F.broadcast(ontology.pairs(relations.sparkSession)), ["start_type", "relation", "end_type"], "left_semi").select(*relations.columns)
 
@@ -50,11 +53,6 @@ def upsert_edges(rows: DataFrame, nodes: DataFrame, order: str, properties: list
     return there.groupBy("start", "type", "end").agg(*last)
 
 
-def wipe(nodes: DataFrame, dry_run: bool = True) -> tuple[int, DataFrame]:
-    """How many nodes there are, and what is left: all in a dry run, else none."""
-    return nodes.count(), nodes if dry_run else nodes.limit(0)
-
-
 def schema_text(nodes: DataFrame) -> DataFrame:
     """``(label, properties)``: the property names of each label, in order."""
     return nodes.select("label", F.explode(F.map_keys("props")).alias("k")).groupBy("label").agg(F.array_join(F.array_sort(F.collect_set("k")), ", ").alias("properties"))
@@ -74,10 +72,16 @@ def connected(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Node:
+    """A node of one label or of any of several (``Method|Dataset``)."""
+
     var: str
     label: str
     props: tuple[str, ...] = ()
 
+    @property
+    def labels(self) -> list[str]:
+        return self.label.split("|")
+
 
 @dataclass(frozen=True)
 class Hop:
@@ -98,16 +102,18 @@ class Pattern:
         return [self.start, *[h.to for h in self.hops]]
 
     def problems(self, ontology: Ontology) -> list[str]:
-        """What of the pattern the ontology doesn't have; every hop and every type of it is checked."""
-        out = [f"unknown label {n.label}" for n in self.nodes() if n.label not in ontology.nodes]
-        out += [f"forbidden label {n.label}" for n in self.nodes() if n.label in self.forbidden]
-        out += [f"{n.label} has no property {p}" for n in self.nodes() for p in n.props if p not in ontology.nodes.get(n.label, [])]
+        """What of the pattern the ontology doesn't have; every hop and every type of it is checked, and one pair of labels must fit."""
+        each = [(n, label) for n in self.nodes() for label in n.labels]
+        out = [f"unknown label {label}" for _, label in each if label not in ontology.nodes]
+        out += [f"forbidden label {label}" for _, label in each if label in self.forbidden]
+        out += [f"{label} has no property {p}" for n, label in each for p in n.props if p not in ontology.nodes.get(label, [])]
         at = self.start
         for h in self.hops:
             for t in h.types:
                 pairs = ontology.relations.get(t, [])
-                fits = {">": (at.label, h.to.label) in pairs, "<": (h.to.label, at.label) in pairs, "-": (at.label, h.to.label) in pairs or (h.to.label, at.label) in pairs}
-                if not fits[h.direction]:
+                ends = [(a, b) for a in at.labels for b in h.to.labels]
+                ahead, back = any((a, b) in pairs for a, b in ends), any((b, a) in pairs for a, b in ends)
+                if not {">": ahead, "<": back, "-": ahead or back}[h.direction]:
                     out.append(f"({at.label}){h.direction}[{t}]({h.to.label}) is no valid pair")
             at = h.to
         return out
@@ -122,7 +128,7 @@ class Pattern:
             raise ValueError("; ".join(wrong))
 
         def side(n: Node) -> DataFrame:
-            return nodes.where(F.col("label") == n.label).select(F.col("id").alias(f"{n.var}_id"), *[F.col("props")[p].alias(f"{n.var}_{p}") for p in n.props])
+            return nodes.where(F.col("label").isin(*n.labels)).select(F.col("id").alias(f"{n.var}_id"), *[F.col("props")[p].alias(f"{n.var}_{p}") for p in n.props])
 
         out, seen, at = side(self.start), {self.start.var}, self.start
         for h in self.hops:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.functions.text import names_overlap
-from quillgraph.functions.vectors import dot
+from quillgraph.functions.text import name_words, names_overlap
+from quillgraph.functions.vectors import jaro_winkler
+from quillgraph.sources.corpus import numbered
+from quillgraph.sources.staging import small_enough, stage
 
 
 def strict_gate(a: Column, b: Column, fields: tuple[str, ...] = ("taskDate", "personEmail")) -> Column:
@@ -26,16 +30,57 @@ def contexts(relations: DataFrame, entities: DataFrame, default: str = "Missing"
     return entities.select("id").join(joined, "id", "left").select("id", F.coalesce("context", F.lit(default)).alias("context"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, strict: bool = True) -> DataFrame:
+#: Rows of a block of vectors; a task multiplies two blocks.
+BLOCK = 1024
+
+
+def _block_products(vectors: DataFrame, kinds: bool, keep, block: int) -> DataFrame:
+    """``(kind1, kind2, id1, id2, score)``, ``id1 < id2``, of all pairs of rows ``(id, kind, vec)`` (``kinds``: of one kind only) for whose scores ``keep`` holds.
+
+    Rows are spread over blocks of about ``block`` by a hash of their id, and each
+    pair of blocks is one product of matrices in one task: a kind of any size is
+    cut into as many tasks as it has pairs of blocks.
+    """
+    own = vectors.select("id", "kind", "vec", *([F.col("kind").alias("_k")] if kinds else [F.lit(0).alias("_k")]))
+    n = stage(own.groupBy("_k").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_n"))).select(F.col("_k").alias("_kn"), "_n")
+    side = F.broadcast(n) if small_enough(n, 100_000) else n
+    placed = own.join(side, F.col("_k").eqNullSafe(F.col("_kn"))).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    sent = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("_k", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b", "id", "kind", "vec")
+    types = dict(vectors.dtypes)
+
+    def product(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        vec, at = t.column("vec").combine_chunks(), t.column("_b").to_numpy()
+        x = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec), -1) if len(vec) else np.zeros((0, 1))
+        low, high = np.flatnonzero(at == at.min()), np.flatnonzero(at == at.max())
+        score = np.round(x[low] @ x[high].T, 6)
+        good = keep(score)
+        if t.column("_i")[0].as_py() == t.column("_j")[0].as_py():
+            good &= low[:, None] < high[None, :]
+        elif at.min() == at.max():
+            good[:] = False  # the other block is empty
+        a, b = np.nonzero(good)
+        first, second = pa.array(np.minimum(low[a], high[b])), pa.array(np.maximum(low[a], high[b]))
+        kind, ids = t.column("kind"), t.column("id")
+        return pa.table({"kind1": kind.take(first), "kind2": kind.take(second), "id1": ids.take(first), "id2": ids.take(second), "score": pa.array(score[a, b])})
+
+    return sent.groupBy("_k", "_i", "_j").applyInArrow(product, f"kind1 {types['kind']}, kind2 {types['kind']}, id1 {types['id']}, id2 {types['id']}, score double")
+
+
+def all_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(kind1, kind2, id1, id2, score)`` of every two rows ``(id, kind, vec)``, ``id1 < id2``, with their inner product."""
+    return _block_products(vectors, False, lambda s: np.ones(s.shape, bool), block)
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, strict: bool = True, block: int = BLOCK) -> DataFrame:
     """``(kind, id1, id2, score)``, ``id1 < id2``, of rows ``(id, kind, vec)`` whose exact inner product passes the threshold.
 
-    Every row meets every later one of its kind. ``strict`` keeps scores above
-    it, else also those at it. A row's own copy is no pair of it; equal vectors are.
+    Every row meets every later one of its kind, block by block. ``strict`` keeps
+    scores above it, else also those at it. A row's own copy is no pair of it;
+    equal vectors are.
     """
-    a = vectors.select(F.col("id").alias("id1"), "kind", F.col("vec").alias("v1"))
-    b = vectors.select(F.col("id").alias("id2"), "kind", F.col("vec").alias("v2"))
-    pairs = a.join(b, "kind").where("id1 < id2").select("kind", "id1", "id2", F.round(dot(F.col("v1"), F.col("v2")), 6).alias("score"))
-    return pairs.where(F.col("score") > threshold if strict else F.col("score") >= threshold)
+    found = _block_products(vectors, True, (lambda s: s > threshold) if strict else (lambda s: s >= threshold), block)
+    return found.select(F.col("kind1").alias("kind"), "id1", "id2", "score")
 
 
 def nearest_pairs(vectors: DataFrame, k: int, threshold: float, strict: bool = True) -> DataFrame:
@@ -85,32 +130,119 @@ def merge_properties(entities: DataFrame, canonical: DataFrame) -> DataFrame:
     return best.groupBy(F.col("canon").alias("id")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v"))))).alias("props"))
 
 
-def patch_affiliations(people: DataFrame, sources: DataFrame) -> DataFrame:
-    """``(name, affiliation)`` of ``people(name)``, from the first (by ``rid``) of ``sources(rid, name, affiliation)`` whose name overlaps."""
-    s = sources.select("rid", F.col("name").alias("other"), "affiliation")
-    met = people.select("name").distinct().join(s, names_overlap(F.col("name"), F.col("other")))
-    return met.groupBy("name").agg(F.min_by("affiliation", "rid").alias("affiliation"))
+def _runs(name: Column, k: int) -> Column:
+    """Runs of ``k`` letters of a name in lower case; none of a shorter one."""
+    low = F.lower(F.trim(name))
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - (k - 1))), lambda i: F.substring(low, i, k))
+    return F.when(F.length(low) >= k, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+
+def overlapping_names(a: DataFrame, b: DataFrame, small: int = 10_000) -> DataFrame:
+    """``(id1, id2)`` of ``a(id, name)`` and ``b(id, name)`` whose names overlap (:func:`names_overlap`).
+
+    Up to ``small`` rows of ``b`` are broadcast and tested whole. More meet ``a`` by
+    equi-joins on keys, then by the exact test: a word of both; the first four
+    letters of the second name within the first; the first four letters of the
+    first name, or all of a shorter one, within the second.
+    """
+    x, y = a.select(F.col("id").alias("id1"), F.col("name").alias("n1")), b.select(F.col("id").alias("id2"), F.col("name").alias("n2"))
+    exact = names_overlap(F.col("n1"), F.col("n2"))
+    if small_enough(y, small):
+        return x.join(F.broadcast(y), exact).select("id1", "id2")
+
+    def tagged(tag: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.concat(F.lit(tag), v))
+
+    head = lambda c: F.array(F.substring(F.lower(F.trim(c)), 1, 4))
+    left = F.concat(tagged("word:", name_words(F.col("n1"))), tagged("in1:", _runs(F.col("n1"), 4)), tagged("in2:", head(F.col("n1"))))
+    right = F.concat(tagged("word:", name_words(F.col("n2"))), tagged("in1:", head(F.col("n2"))), *[tagged("in2:", _runs(F.col("n2"), k)) for k in (1, 2, 3, 4)])
+    keyed = x.withColumn("k", F.explode(F.array_distinct(left))).join(y.where(F.length(F.trim("n2")) >= 4).withColumn("k", F.explode(F.array_distinct(right))), "k")
+    return keyed.where(exact).select("id1", "id2").distinct()
+
+
+def patch_affiliations(people: DataFrame) -> DataFrame:
+    """``(id, affiliation)`` for ``people(id, rid, props)`` with an address but no affiliation.
+
+    It is that of the first (by ``rid``) person without an address whose name overlaps.
+    """
+    has = lambda k: F.coalesce(F.col("props")[k], F.lit("")) != ""
+    name = F.coalesce(F.col("props")["personName"], F.lit("")).alias("name")
+    mailed = people.where(has("personEmail") & ~has("affiliation")).select("id", name)
+    giving = people.where(has("affiliation") & ~has("personEmail")).select("id", "rid", name, F.col("props")["affiliation"].alias("affiliation"))
+    met = overlapping_names(mailed, giving).join(giving.select(F.col("id").alias("id2"), "rid", "affiliation"), "id2")
+    return met.groupBy(F.col("id1").alias("id")).agg(F.min_by("affiliation", F.struct("rid", "id2")).alias("affiliation"))
+
+
+def with_affiliations(entities: DataFrame) -> DataFrame:
+    """``entities(id, type, rid, props)`` with the affiliations that :func:`patch_affiliations` finds."""
+    found = patch_affiliations(entities.where("type = 'Person'")).select(F.col("id").alias("_id"), F.map_from_arrays(F.array(F.lit("affiliation")), F.array("affiliation")).alias("_more"))
+    props = F.when(F.col("_more").isNotNull(), F.map_concat(F.map_filter("props", lambda k, v: k != "affiliation"), "_more")).otherwise(F.col("props"))
+    return entities.join(found, entities.id == F.col("_id"), "left").withColumn("props", props).select(*entities.columns)
+
+
+def capped_pairs(pairs: DataFrame, cap: int = 3) -> DataFrame:
+    """Of ``pairs(kind, i, j, score, id1, id2)`` the greedy choice in the order of ``i``: each row takes its first ``cap`` partners, best first, that no earlier row took with it.
+
+    ``i`` is the place of a row within its kind and ``j`` that of its partner; a
+    pair that both ends find is taken once. A row's choice depends on the pairs
+    that earlier rows took with it and nothing else: so rounds over rows of which
+    all earlier partners are settled give the sequential result. Rows settle in
+    as many rounds as the longest rising chain of partners, with no task for a
+    whole kind.
+    """
+    own = stage(pairs.select("kind", "i", "j", "score", "id1", "id2"))
+    order = Window.partitionBy("kind", "i").orderBy(F.desc("score"), "j")
+    settled = None
+    open_ = own
+    while not open_.isEmpty():
+        mutual = open_.select("kind", F.col("i").alias("j"), F.col("j").alias("i")).where("j < i").join(open_.select("kind", "i", "j"), ["kind", "i", "j"], "left_semi")
+        later = mutual.select("kind", "i").distinct()
+        ready = open_.join(later, ["kind", "i"], "left_anti")
+        if settled is not None:
+            taken = settled.where("took").select("kind", F.col("i").alias("j"), F.col("j").alias("i"))
+            ready = ready.join(taken, ["kind", "i", "j"], "left_anti")
+        done = ready.withColumn("took", F.row_number().over(order) <= cap)
+        settled = stage(done if settled is None else settled.unionByName(done))
+        open_ = stage(open_.join(later, ["kind", "i"], "left_semi"))
+    out = own.withColumn("took", F.lit(True)).limit(0) if settled is None else settled.where("took")
+    return out.drop("took")
+
+
+def named_alike(kind: Column, a: Column, b: Column, kinds: tuple[str, ...] = ("Person", "Conference", "Journal"), least: float = 0.92) -> Column:
+    """Whether two labels of a kind of proper names are alike by Jaro-Winkler; labels of other kinds always are."""
+    proper = kind.isin(*kinds)
+    return ~proper | (jaro_winkler(F.when(proper, a), F.when(proper, b)) >= least)
+
+
+def sample_target(n: Column) -> Column:
+    """About 40 % of up to 1,000 rows, 15 % of up to 5,000 (500 at most), else 500."""
+    return F.when(n < 1000, F.floor(n * 0.4)).when(n < 5000, F.least(F.lit(500), F.floor(n * 0.15))).otherwise(F.lit(500))
 
 
 def stratified_sample(pairs: DataFrame, kind: str, key: list[str], seed: int = 42) -> DataFrame:
-    """About 40 % of up to 1,000 rows, 15 % of up to 5,000 (500 at most), else 500; of each kind in proportion, one at least.
+    """A sample of :func:`sample_target` rows; of each kind in proportion, one at least, then trimmed or topped up to the target.
 
-    Rows are drawn by a seeded hash of their key, so a sample doesn't depend on partitions.
+    Rows are drawn by a seeded hash of their key, so a sample doesn't depend on
+    partitions. The rank within a kind is a limit: no task holds more than it takes.
     """
     n = pairs.agg(F.count("*").alias("n"))
-    target = F.when(F.col("n") < 1000, F.floor(F.col("n") * 0.4)).when(F.col("n") < 5000, F.least(F.lit(500), F.floor(F.col("n") * 0.15))).otherwise(F.lit(500))
-    share = pairs.groupBy(kind).agg(F.count("*").alias("nt")).crossJoin(n).select(F.col(kind).alias("kind_"), F.greatest(F.lit(1), F.floor(target * F.col("nt") / F.col("n"))).alias("take"))
-    rank = F.row_number().over(Window.partitionBy(kind).orderBy(F.xxhash64(F.lit(seed), *key), *key))
-    drawn = pairs.withColumn("rank_", rank)
-    return drawn.join(F.broadcast(share), drawn[kind].eqNullSafe(F.col("kind_"))).where("rank_ <= take").select(*pairs.columns)
+    share = pairs.groupBy(kind).agg(F.count("*").alias("nt")).crossJoin(n).select(F.col(kind).alias("kind_"), sample_target(F.col("n")).alias("target_"), F.greatest(F.lit(1), F.floor(sample_target(F.col("n")) * F.col("nt") / F.col("n"))).alias("take_"))
+    share = stage(share)
+    target = (share.first() or {"target_": 0})["target_"]
+    side = F.broadcast(share) if small_enough(share, 100_000) else share
+    draw = F.xxhash64(F.lit(seed), *key)
+    rank = F.row_number().over(Window.partitionBy(kind).orderBy("draw_", *key))
+    drawn = pairs.withColumn("draw_", draw).withColumn("rank_", rank).where(F.col("rank_") <= max(1, target))
+    first = drawn.join(side, drawn[kind].eqNullSafe(F.col("kind_"))).withColumn("late_", F.col("rank_") > F.col("take_"))
+    return first.orderBy("late_", "draw_", *key).limit(target).select(*pairs.columns)
 
 
 def registry(mentions: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     """``(type, key, id)`` of mentions ``(type, key, record, pos)``: ids number the keys of a type from 1 as they first appear."""
     first = mentions.groupBy("type", "key").agg(F.min(F.struct("record", "pos")).alias("at"))
     prefix = F.create_map(*[F.lit(x) for kv in prefixes.items() for x in kv])
-    n = F.row_number().over(Window.partitionBy("type").orderBy("at", "key"))
-    return first.select("type", "key", F.concat(F.coalesce(prefix[F.col("type")], F.lower("type")), n.cast("string")).alias("id"))
+    ranked = numbered(first, ["at", "key"], "n", ["type"])
+    return ranked.select("type", "key", F.concat(F.coalesce(prefix[F.col("type")], F.lower("type")), F.col("n").cast("string")).alias("id"))
 
 
 def merged_mentions(mentions: DataFrame) -> DataFrame:

@@ -7,32 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.functions import dates, text, vectors
+from quillgraph.functions import answers, dates, text, vectors
+from quillgraph.operators import entity_dates as ed
 from quillgraph.operators import evaluation as ev
 from quillgraph.operators import graph as g
 from quillgraph.operators import resolution as er
 from quillgraph.operators.components import connected_components
+from quillgraph.plans import corpus_graph, judged  # noqa: F401  (they register their queries)
+from quillgraph.plans.registered import QUERIES, SQL, query
 from quillgraph.plans.starschema import ONTOLOGY, edges, nodes, table
 from quillgraph.sources.corpus import unprocessed
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+from quillgraph.sources.staging import small_enough
 
 REGION, NATION = g.Node("r", "Region", ("name",)), g.Node("n", "Nation", ("name",))
 CUSTOMER, ORDER, PART = g.Node("c", "Customer", ("name", "segment")), g.Node("o", "Order", ("status", "date", "priority")), g.Node("p", "Part", ("name", "brand", "kind"))
 BLOCK_TAU, COMPONENT_TAU, NEIGHBOURS = 0.25, 0.30, 9
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _match(spark: SparkSession, d: str, start: g.Node, *hops: g.Hop) -> DataFrame:
     return g.Pattern(start, hops).match(nodes(spark, d), edges(spark, d), ONTOLOGY)
 
@@ -105,10 +96,23 @@ def schema(spark: SparkSession, d: str) -> DataFrame:
     return g.schema_text(nodes(spark, d))
 
 
-@query("SELECT 'Customer' AS type, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) HAVING count(*) > 0")
+_FEW = "o_orderkey % 10 = 0"
+
+
+@query(f"""SELECT 'Customer' AS type, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE {_FEW}) HAVING count(*) > 0
+    UNION ALL SELECT 'Order', count(*) FROM orders WHERE NOT {_FEW} HAVING count(*) > 0""")
 def unconnected(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"), F.lit("Customer").alias("type"))
-    return g.unconnected(own, edges(spark, d).where("type = 'placed'"))
+    """Customers and orders that no edge of a tenth of the orders reaches."""
+    own = nodes(spark, d).where(F.col("label").isin("Customer", "Order")).select("id", F.col("label").alias("type"))
+    some = table(spark, d, "orders").where(_FEW).select(F.concat(F.lit("c"), "o_custkey").alias("start"), F.concat(F.lit("o"), "o_orderkey").alias("end"))
+    return g.unconnected(own, some)
+
+
+@query(f"SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE {_FEW})")
+def connected(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "customer").select(F.concat(F.lit(" c"), "c_custkey").alias("id"))
+    some = table(spark, d, "orders").where(_FEW).select(F.concat(F.lit("c"), "o_custkey", F.lit(" ")).alias("start"), F.concat(F.lit("o"), "o_orderkey").alias("end"))
+    return g.connected(own, some).select(F.trim("id").alias("id"))
 
 
 @query("SELECT event_type AS type, event_id AS id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type IN ('view', 'purchase')")
@@ -197,10 +201,8 @@ _SCORED = "SELECT least(1.0, greatest(0.0, round(list_dot_product(a.embedding::D
 
 
 def _all_pairs(spark: SparkSession, d: str) -> DataFrame:
-    v = _vectors(spark, d)
-    a, b = v.toDF("id1", "k1", "v1"), v.toDF("id2", "k2", "v2")
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(vectors.dot(F.col("v1"), F.col("v2")), 6)))
-    return a.join(b, F.col("id1") < F.col("id2")).select(score.alias("score"), (F.col("k1") == F.col("k2")).alias("truth"), "id1", "id2")
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score")))
+    return er.all_pairs(_vectors(spark, d)).select(score.alias("score"), (F.col("kind1") == F.col("kind2")).alias("truth"), "id1", "id2")
 
 
 @query(f"""WITH s AS ({_SCORED}), b AS (SELECT least(floor(score * 999 + 1e-9), 999)::BIGINT AS bin, count(*) AS n, sum(truth::INT) AS t FROM s GROUP BY 1), q AS (SELECT unnest(range(1000)) AS bin),
@@ -255,10 +257,14 @@ def address_list(spark: SparkSession, d: str) -> DataFrame:
     return each.select("conv_id", "turn", "x.field", F.explode(text.addresses(F.col("x.v"))).alias("a")).select("conv_id", "turn", "field", "a.name", "a.email")
 
 
-@query("SELECT 'conv ' || conv_id AS thread, min(conv_id * 1000 + turn) AS first, count(*) AS n FROM conversations GROUP BY conv_id")
+@query("""WITH r AS (SELECT conv_id * 1000 + turn AS record, CASE WHEN turn % 5 = 4 THEN '' ELSE 'conv ' || conv_id END AS key FROM conversations), k AS (SELECT record, CASE WHEN key = '' THEN '#' || record ELSE key END AS key FROM r)
+    SELECT record, min(record) OVER (PARTITION BY key) AS first, count(*) OVER (PARTITION BY key) AS n FROM k""")
 def thread_regroup(spark: SparkSession, d: str) -> DataFrame:
-    m = _messages(spark, d).withColumn("thread", text.thread_subject(text.header_field(F.col("message"), "Subject")))
-    return m.groupBy("thread").agg(F.min(F.expr("conv_id * 1000 + turn")).alias("first"), F.count("*").alias("n"))
+    """Records of one subject share a thread; those without one are alone."""
+    subject = F.expr("case when turn % 5 = 4 then ' Re: ' else concat('RE:  Fwd: Conv  ', conv_id) end")
+    own = ed.regrouped_threads(table(spark, d, "conversations").select(F.expr("conv_id * 1000 + turn").alias("record"), subject.alias("subject")))
+    per = own.groupBy("thread").agg(F.min("record").alias("first"), F.count("*").alias("n"))
+    return own.join(per, "thread").select("record", "first", "n")
 
 
 _STYLES = {0: ("d MMMM yyyy", "%-d %B %Y"), 1: ("yyyy-MM-dd", "%Y-%m-%d"), 2: ("d/M/yyyy", "%-d/%-m/%Y"), 3: ("MMMM d, yyyy", "%B %-d, %Y"), 4: ("EEEE, d MMM yyyy", "%A, %-d %b %Y")}
@@ -272,11 +278,31 @@ def date_normalise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", dates.normalize_date(shown).alias("date"))
 
 
-@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'F' THEN year(o_orderdate) END, CASE WHEN c_acctbal > 0 THEN 2001 END, 2019)::INT AS year FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def _dated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers, and orders as their mails, as entities; relations of customers that name an order's mail."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    mails = o.select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.create_map(F.lit("mailDate"), F.when(F.expr("o_orderkey % 3 > 0"), F.date_format("o_orderdate", "d MMMM yyyy")).otherwise(F.lit("TBD"))).alias("props"))
+    people = c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.create_map(F.lit("statusDate"), F.when(F.expr("c_custkey % 2 = 0"), F.lit("2001-05-06")).otherwise(F.lit("5 May")), F.lit("name"), F.col("c_name")).alias("props"))
+    relations = o.where(_FEW).select(F.concat(F.lit("c"), "o_custkey").alias("start"), F.concat(F.lit("c"), "o_custkey").alias("end"), F.when(F.expr("o_orderkey % 20 = 0"), F.lit("header")).otherwise(F.concat(F.lit("o"), "o_orderkey")).alias("source"))
+    return mails.unionByName(people), relations
+
+
+_YEARS = f"""t AS (SELECT 'c' || o_custkey AS id, arg_min(year(o_orderdate), (length(o_orderkey::VARCHAR), o_orderkey::VARCHAR)) AS y FROM orders WHERE {_FEW} AND o_orderkey % 20 <> 0 AND o_orderkey % 3 > 0 GROUP BY 1),
+    y AS (SELECT 'c' || c_custkey AS id, coalesce(t.y, CASE WHEN c_custkey % 2 = 0 THEN 2001 END, 2019)::INT AS year FROM customer LEFT JOIN t ON t.id = 'c' || c_custkey UNION ALL SELECT 'o' || o_orderkey, 2019 FROM orders)"""
+
+
+@query(f"WITH {_YEARS} SELECT id, year FROM y")
 def year_infer(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    year = F.coalesce(F.when(F.col("o_orderstatus") == "F", F.year("o_orderdate")), F.when(F.col("c_acctbal") > 0, F.lit(2001)), F.lit(2019))
-    return m.select("o_orderkey", year.alias("year"))
+    return ed.entity_years(*_dated(spark, d))
+
+
+@query(f"""WITH {_YEARS} SELECT id, CASE WHEN left(id, 1) = 'o' THEN CASE WHEN substr(id, 2)::BIGINT % 3 > 0 THEN (SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_orderkey = substr(id, 2)::BIGINT) ELSE 'TBD' END
+    ELSE CASE WHEN substr(id, 2)::BIGINT % 2 = 0 THEN '2001-05-06' ELSE year || '-05-05' END END AS date, CASE WHEN left(id, 1) = 'o' THEN substr(id, 2)::BIGINT % 3 > 0 ELSE substr(id, 2)::BIGINT % 2 <> 0 END AS changed FROM y""")
+def entity_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates among the properties as ISO text, with the years that they lack."""
+    entities, relations = _dated(spark, d)
+    fixed = ed.normalized_entities(entities, ed.entity_years(entities, relations))
+    return fixed.select("id", F.coalesce(F.col("props")["mailDate"], F.col("props")["statusDate"]).alias("date"), "changed")
 
 
 _FROM, _TO = 1_600_000_000_000_000, 1_610_000_000_000_000
@@ -331,27 +357,37 @@ def assignment(spark: SparkSession, d: str) -> DataFrame:
     return ev.assigned(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 0.2)
 
 
-@query(f"""WITH p AS (SELECT * FROM ({_PAIRS}) WHERE score > 0.2), n AS (SELECT count(*) AS n FROM p), t AS (SELECT n, CASE WHEN n < 1000 THEN floor(n * 0.4) WHEN n < 5000 THEN least(500, floor(n * 0.15)) ELSE 500 END AS target FROM n)
-    SELECT kind, greatest(1, floor(target * count(*) / n))::BIGINT AS n FROM p, t GROUP BY kind, target, n""")
+@query(f"""WITH p AS (SELECT count(*) AS n FROM ({_PAIRS}) WHERE score > 0.2) SELECT CASE WHEN n < 1000 THEN floor(n * 0.4) WHEN n < 5000 THEN least(500, floor(n * 0.15)) ELSE 500 END::BIGINT AS n FROM p""")
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     pairs = er.similar_pairs(_vectors(spark, d), 0.2)
-    return er.stratified_sample(pairs, "kind", ["id1", "id2"]).groupBy("kind").agg(F.count("*").alias("n"))
+    return er.stratified_sample(pairs, "kind", ["id1", "id2"]).agg(F.countDistinct("id1", "id2").alias("n"))
 
 
 def _people(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, d, "supplier").select("s_suppkey", "s_name"), table(spark, d, "nation").select("n_nationkey", "n_name")
 
 
-@query("SELECT p_partkey, n_nationkey FROM part, nation WHERE lower(p_name || ' of ' || n_name) LIKE '%' || lower(n_name) || '%'")
+_TITLED = "CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'Editorial ' || p_name ELSE 'Dr. ' || (SELECT min(n_name) FROM nation) END"
+_NAMED = "CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'editorial ' || split_part((SELECT p_name FROM part WHERE p_partkey = n_nationkey + 1), ' ', 1) END"
+
+
+@query(f"""WITH a AS (SELECT p_partkey, lower({_TITLED}) AS x FROM part), b AS (SELECT n_nationkey, lower({_NAMED}) AS y FROM nation),
+    w AS (SELECT p_partkey, x, list_filter(string_split(x, ' '), lambda v: length(v) >= 4 AND v NOT IN ('editorial')) AS xs FROM a), v AS (SELECT n_nationkey, y, list_filter(string_split(y, ' '), lambda v: length(v) >= 4 AND v NOT IN ('editorial')) AS ys FROM b)
+    SELECT p_partkey, n_nationkey FROM w, v WHERE length(y) >= 4 AND (contains(x, y) OR contains(y, x) OR list_has_any(xs, ys))""")
 def name_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Names that overlap by a word, by lying in each other or not at all; a shared title is no overlap."""
     p, n = table(spark, d, "part").select("p_partkey", "p_name"), table(spark, d, "nation").select("n_nationkey", "n_name")
-    return p.crossJoin(F.broadcast(n)).where(text.names_overlap(F.concat("p_name", F.lit(" of "), "n_name"), F.col("n_name"))).select("p_partkey", "n_nationkey")
+    least = n.agg(F.min("n_name").alias("least"))
+    a = p.crossJoin(F.broadcast(least)).select(F.col("p_partkey").alias("id"), F.expr("case p_partkey % 3 when 0 then p_name when 1 then 'Editorial ' || p_name else 'Dr. ' || least end").alias("name"))
+    b = n.join(p, F.col("p_partkey") == F.col("n_nationkey") + 1, "left").select(F.col("n_nationkey").alias("id"), F.expr("case when n_nationkey % 2 = 0 then n_name else 'editorial ' || split_part(p_name, ' ', 1) end").alias("name"))
+    # The keyed way, as for large tables.
+    return er.overlapping_names(a, b, small=0).toDF("p_partkey", "n_nationkey")
 
 
 @query("SELECT s_suppkey, n_nationkey, round(jaro_winkler_similarity(lower(s_name), lower(n_name)), 6) AS similarity FROM supplier, nation")
 def jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
     s, n = _people(spark, d)
-    return s.crossJoin(F.broadcast(n)).select("s_suppkey", "n_nationkey", F.round(vectors.jaro_winkler(F.lower("s_name"), F.lower("n_name")), 6).alias("similarity"))
+    return s.crossJoin(F.broadcast(n) if small_enough(n, 10_000) else n).select("s_suppkey", "n_nationkey", F.round(vectors.jaro_winkler(F.lower("s_name"), F.lower("n_name")), 6).alias("similarity"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'MATCH' ELSE 'NO_MATCH' END AS verdict FROM orders")
@@ -365,19 +401,20 @@ def json_answers(spark: SparkSession, d: str) -> DataFrame:
     """Entities of answers in fences, some without their last braces."""
     whole = F.format_string('```json\n{"entities": [{"id": "u%d", "type": "%s"}]}\n```', "user_id", "event_type")
     cut = F.format_string('{"entities": [{"id": "u%d", "type": "%s"}]', "user_id", "event_type")
-    answer = F.when(F.col("event_id") % 2 == 0, whole).otherwise(cut)
-    items = text.json_items(answer, "entities", "struct<id:string,type:string>")
+    given = F.when(F.col("event_id") % 2 == 0, whole).otherwise(cut)
+    items = answers.json_items(given, "entities", "struct<id:string,type:string>")
     return table(spark, d, "events").select("event_id", F.explode(items).alias("x")).select("event_id", "x.id", "x.type")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query(f"SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE {_FEW})")
 def resume(spark: SparkSession, d: str) -> DataFrame:
-    return unprocessed(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Customers that a tenth of the orders hasn't dealt with."""
+    return unprocessed(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where(_FEW).select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

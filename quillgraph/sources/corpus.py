@@ -8,6 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillgraph.sources.staging import small_enough, stage
 
 #: Cell texts that stand for null where a reader infers nulls.
 NULLS = ["", "NA", "N/A", "n/a", "None", "nan", "NaN", "null", "NULL", "<NA>", "#N/A", "NaT"]
@@ -30,16 +33,24 @@ def split_at_headers(text: Column, header: str = "Thread ID:", end: str = "EMAIL
     return F.filter(F.split(repaired, f"(?m)(?=^{header})"), lambda x: F.trim(x) != "")
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``df`` with its rank from 1 in ``order``, which must be total: a range sort, then counts per partition carried over.
+def numbered(df: DataFrame, order: list[str], name: str, within: list[str] | None = None) -> DataFrame:
+    """``df`` with its rank from 1 in ``order``, which must be total; of the rows equal in ``within``, where given.
 
-    No window over the whole table, so no single task sees all rows.
+    The sorted rows are written once, each with its partition and place; the
+    counts of partitions are taken from what was written, so that both agree. No
+    window over the whole table: no single task sees all rows, whatever the
+    groups' sizes. Null is a group like any other.
     """
-    sorted_ = df.orderBy(*order).withColumn("_part", F.spark_partition_id())
-    sorted_ = sorted_.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
-    counts = sorted_.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    return sorted_.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+    within = within or []
+    rows = df.orderBy(*within, *order).withColumn("_part", F.spark_partition_id())
+    rows = stage(rows.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33)))
+    counts = rows.groupBy("_part", *within).agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    names = [f"_w{i}" for i in range(len(within))]
+    before = stage(counts.select(F.col("_part").alias("_p"), *[F.col(w).alias(n) for w, n in zip(within, names)], (earlier - F.col("_low") + 1).alias("_add")))
+    side = F.broadcast(before) if small_enough(before, 100_000) else before
+    on = [rows["_part"] == before["_p"], *[rows[w].eqNullSafe(before[n]) for w, n in zip(within, names)]]
+    return rows.join(side, on).withColumn(name, F.col("_at") + F.col("_add")).select(*df.columns, name)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, infer_nulls: bool = True) -> DataFrame:
@@ -63,11 +74,30 @@ def write_by_type(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
-def typed_view(nodes: DataFrame, label: str) -> DataFrame:
-    """``(id, <properties>)`` of one label: a column for each property that occurs, in order, missing ones empty."""
-    own = nodes.where(F.col("label") == label)
-    keys = [r[0] for r in own.select(F.explode(F.map_keys("props")).alias("k")).distinct().orderBy("k").collect()]
-    return own.select("id", *[F.coalesce(F.col("props")[k], F.lit("")).alias(k) for k in keys])
+def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
+    """A folder of CSV parts with headers in place of what was there; quotes are doubled and nulls are empty cells."""
+    (df.coalesce(files) if files else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue='""', nullValue="")
+
+
+def read_text(path: str) -> str:
+    """A prompt or another small text of the driver."""
+    return Path(path).read_text(encoding="utf-8")
+
+
+def wipe_tables(spark: SparkSession, paths: list[str], dry_run: bool = True) -> dict[str, int]:
+    """How many rows the tables below ``paths`` have; unless in a dry run each is replaced by one without rows, its schema kept."""
+    out = {}
+    for path in paths:
+        df = spark.read.parquet(path)
+        out[path] = df.count()
+        if not dry_run:
+            spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+    return out
+
+
+def typed_view(nodes: DataFrame, label: str, properties: list[str]) -> DataFrame:
+    """``(id, <properties>)`` of one label, missing ones empty; ``properties`` as the ontology names them."""
+    return nodes.where(F.col("label") == label).select("id", *[F.coalesce(F.col("props")[k], F.lit("")).alias(k) for k in sorted(properties)])
 
 
 class Ontology:

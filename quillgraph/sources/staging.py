@@ -36,14 +36,47 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_fallback[0]}"
 
 
+#: Tables staged and not yet dropped, oldest first, and the session that can drop them.
+_staged: list[tuple[str, SparkSession]] = []
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet under :func:`shared_dir` and return a reader of it."""
+    """Write ``df`` as Parquet under :func:`shared_dir` and return a reader of it.
+
+    What isn't dropped by :func:`drop_staged` goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillgraph/{uuid.uuid4().hex}"
+    if not _staged:
+        atexit.unregister(drop_staged)
+        atexit.register(drop_staged)
+    _staged.append((path, spark))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_so_far() -> int:
+    """How many staged tables there are; what is staged later can be dropped from here on."""
+    return len(_staged)
+
+
+def drop_staged(since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes the tables staged after ``since``, except those that ``keep`` reads. No other frame may read them any more."""
+    files = [f for df in keep for f in df.inputFiles()]
+    left = []
+    for path, spark in _staged[since:]:
+        if any(f"/{path.rsplit('/', 1)[1]}/" in f for f in files):
+            left.append((path, spark))
+            continue
+        try:
+            jvm = spark._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the driver's other half has ended; its cluster cleans the folder
+            return
+    _staged[since:] = left
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` (best a staged table) has at most ``rows`` rows."""
     return df.limit(rows + 1).count() <= rows
