@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quillgraph.llm import kernels
 from quillgraph.llm.common import free_name
@@ -94,30 +95,63 @@ _WORD_BYTES = np.array([i not in b" \t\r\n" for i in range(256)])
 measure = F.arrow_udf(measure_texts, MEASURES)
 
 
-def thresholds(measured: DataFrame, rules: Mapping[str, tuple[float | None, float | None]], spread: float, min_group: int, k: int) -> DataFrame:
+#: Widths of a sketch's bins, each up to a limit: powers of two, so that bins are exact in any engine.
+BINS: list[tuple[float, float]] = [(1.0, 1 / 4096), (64.0, 1 / 256), (4096.0, 1 / 4), (float(1 << 18), 16.0), (float("inf"), 4096.0)]
+
+
+def bin_of(value: Column) -> Column:
+    """Lower bound of the bin of a value that isn't negative."""
+    out = None
+    for limit, width in BINS[:-1]:
+        own = F.floor(value / width) * F.lit(width)
+        out = F.when(value < limit, own) if out is None else out.when(value < limit, own)
+    return out.otherwise(F.floor(value / BINS[-1][1]) * F.lit(BINS[-1][1]))
+
+
+def sketch(measured: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """``(keys, metric, bin, n)``: a mergeable quantile sketch of each metric, as the counts of its bins.
+
+    Merging two sketches adds their counts, so the result is the same for any
+    order and any partitions; a quantile is its true value rounded down to a bin.
+    A group has some ten thousand bins at most where values stay below 2**18.
+    """
+    each = measured.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bin_of(F.col(m)).alias("bin")) for m in metrics])).alias("e"))
+    return each.groupBy(*keys, "e.metric", "e.bin").agg(F.count("*").alias("n"))
+
+
+def merged(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches of coarser groups."""
+    return sketches.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
+
+
+def quartiles(sketches: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """``(keys, n, <metric>)``: size of each group and the bins of rank ceil(n / 4) and ceil(3 n / 4) as ``<metric>.q1`` and ``.q3``."""
+    group = Window.partitionBy(*keys, "metric")
+    ranked = sketches.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), F.col("bin")))
+    per = ranked.groupBy(*keys, "metric").agg(F.max("total").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    return per.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("metric") == m, F.struct("q1", "q3"))).alias(m) for m in metrics])
+
+
+def thresholds(measured: DataFrame, rules: Mapping[str, tuple[float | None, float | None]], spread: float, min_group: int) -> DataFrame:
     """``(lang, source)`` with the quartiles of each metric and the margins below and above them.
 
     A margin is ``spread`` times the distance of the quartiles, or the least
     margin of the rule where that is wider.
 
-    One KLL sketch per metric, language and source; a language's sketch is the
-    merge of its sources', the corpus' that of all languages. A group of fewer
-    than ``min_group`` documents takes its language's quartiles, and a small
-    language those of the corpus.
+    One sketch per metric, language and source; a language's sketch is the merge
+    of its sources', the corpus' that of all languages. A group of fewer than
+    ``min_group`` documents takes its language's quartiles, and a small language
+    those of the corpus.
     """
-    by_source = stage(measured.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m, k).alias(m) for m in rules]))
-
-    def merged(*keys: str) -> DataFrame:
-        return by_source.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, k).alias(m) for m in rules])
-
-    def quartiles(sketch: Column) -> Column:
-        some = F.coalesce(F.kll_sketch_get_n_double(sketch) > 0, F.lit(False))
-        return F.when(some, F.struct(F.kll_sketch_get_quantile_double(sketch, F.lit(0.25)).alias("q1"), F.kll_sketch_get_quantile_double(sketch, F.lit(0.75)).alias("q3")))
+    metrics = list(rules)
+    by_source = stage(sketch(measured, ["lang", "source"], metrics))
+    by_lang = merged(by_source, ["lang"])
 
     def level(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
-        return df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.col("n").alias(f"{name}_n"), *[quartiles(F.col(m)).alias(f"{name}_{m}") for m in rules])
+        return quartiles(df, keys, metrics).select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.col("n").alias(f"{name}_n"), *[F.col(m).alias(f"{name}_{m}") for m in metrics])
 
-    own, lang, all_ = level(by_source, "own", ["lang", "source"]), level(merged("lang"), "lang", ["lang"]), level(merged(), "all", [])
+    own, lang, all_ = level(by_source, "own", ["lang", "source"]), level(by_lang, "lang", ["lang"]), level(merged(by_lang, []), "all", [])
     joined = own.join(lang, F.col("own_lang").eqNullSafe(F.col("lang_lang"))).crossJoin(all_)
     out = [F.col("own_lang").alias("lang"), F.col("own_source").alias("source")]
     for m, (low, high) in rules.items():
@@ -135,22 +169,23 @@ def quality_filter(
     spread: float = 3.0,
     short_words: int = 20,
     min_group: int = 50,
-    k: int = 4096,
     broadcast_rows: int = 50_000,
 ) -> DataFrame:
     """Rows of ``docs`` within the adaptive limits of their language and source, columns unchanged.
 
     Measures of a short text scatter more, so the margins of a text of n words
-    are widened by the factor 1 + ``short_words`` / n. Two narrow scans: one fills the sketches, the other measures again and
-    compares with the joined limits, so no text is shuffled; limits of up to
-    ``broadcast_rows`` groups are broadcast, more are joined by shuffle. A null,
-    empty or blank text has no measures and is rejected. Null languages and
-    sources are groups of their own. Repeated rows are judged alike, and a
-    value equal to a limit passes. A table without rows stays empty.
+    are widened by the factor 1 + ``short_words`` / n. Two narrow scans: one fills
+    the sketches, the other measures again and compares with the joined limits, so
+    no text is shuffled; limits of up to ``broadcast_rows`` groups are broadcast,
+    more are joined by shuffle. A null, empty or blank text has no measures and is
+    rejected. Null languages and sources are groups of their own. Repeated rows
+    are judged alike, and a value equal to a limit passes. A table without rows
+    stays empty. A text of any length is measured whole; it must fit a worker with
+    some thirty times its size beside it. The result is the same in every run.
     """
     first = next(iter(rules))
     measured = docs.select(F.col("lang"), F.col("source"), measure("text").alias("m")).select("lang", "source", "m.*").where(F.col(first).isNotNull())
-    limits = stage(thresholds(measured, rules, spread, min_group, k))
+    limits = stage(thresholds(measured, rules, spread, min_group))
     m, *names = free_name(docs, "measures", *[f"limit_{c}" for c in limits.columns])
     renamed = limits.toDF(*names)
     at = dict(zip(limits.columns, names))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from quillgraph.llm.quality import RULES
+from quillgraph.llm.quality import BINS, RULES
 
 _M = "18446744073709551616"
 _P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
@@ -79,12 +79,16 @@ def mixing(source: str, weights: Mapping[str, float], max_epochs: float, seed: i
 
 
 def quality(source: str, spread: float = 3.0, short_words: int = 20, min_group: int = 50) -> str:
-    """Quartiles are the values at rank ceil(q n); a sketch that holds every value has the same."""
+    """Quartiles are the values at rank ceil(q n), each rounded down to its bin."""
     names = list(RULES)
 
+    def binned(m: str) -> str:
+        steps = " ".join(f"WHEN {m} < {limit!r} THEN floor({m} / {width!r}) * {width!r}" for limit, width in BINS[:-1])
+        return f"CASE {steps} ELSE floor({m} / {BINS[-1][1]!r}) * {BINS[-1][1]!r} END"
+
     def level(keys: str, tag: str) -> str:
         by = f"GROUP BY {keys}" if keys else ""
-        cols = ", ".join(f"quantile_disc({m}, 0.25) AS {m}_q1, quantile_disc({m}, 0.75) AS {m}_q3" for m in names)
+        cols = ", ".join(f"quantile_disc({binned(m)}, 0.25) AS {m}_q1, quantile_disc({binned(m)}, 0.75) AS {m}_q3" for m in names)
         return f"{tag} AS (SELECT {keys + ', ' if keys else ''}count(*) AS n_, {cols} FROM m_ WHERE n_words > 0 {by})"
 
     tests = []
