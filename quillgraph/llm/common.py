@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,3 +33,9 @@ def strings(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A text column of a batch, nulls as empty strings."""
     column = batch.column(batch.schema.get_field_index(name))
     return column.fill_null("") if column.null_count else column
+
+
+def order_key(df: DataFrame, key: str) -> Column:
+    """A long that orders rows by ``key``: an integer itself, anything else by its hash; null comes last."""
+    own = F.col(key).cast("long") if isinstance(df.schema[key].dataType, T.IntegralType) else F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("string")))
+    return F.coalesce(own, F.lit((1 << 63) - 1))

@@ -160,6 +160,13 @@ def grams(values: np.ndarray, n: int) -> np.ndarray:
     return _splitmix(out)
 
 
+def spans_hash(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the values from each ``begin`` up to ``end``; equal runs have equal hashes wherever they stand."""
+    power, inverse = _power_tables(len(values) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_splitmix(values) * power[: len(values)], dtype=np.uint64)])
+    return _splitmix((total[end] - total[begin]) * inverse[begin])
+
+
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each window of ``width`` values, at its first value, by doubling."""
     out, have = values, 1

@@ -55,7 +55,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without later copies of runs of two or more lines."""
+    """All documents without later copies of lines and runs of lines of 40 bytes or more."""
     return drop_repeated_lines(table(spark, sf_dir, "documents"))
 
 
@@ -100,4 +100,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": sql.line_dedup("documents"),
         "op5_mixing": sql.mixing("documents", MIX_WEIGHTS, MAX_EPOCHS, MIX_SEED),
         "op6_quality": sql.quality("documents"),
+        "op9_passages": sql.passages("documents"),
     }

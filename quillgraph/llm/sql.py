@@ -119,13 +119,32 @@ def quality(source: str, spread: float = 3.0, short_words: int = 20, min_group:
     )
 
 
-def line_dedup(source: str, width: int = 2, min_chars: int = 40) -> str:
-    """Every window of lines against the first place of an equal one."""
-    return f"""WITH l_ AS (SELECT doc_id, string_split(text, chr(10)) AS ls_ FROM {source}),
-        w_ AS (SELECT doc_id, ls_, unnest(range(1, len(ls_) - {width} + 2)) AS p_ FROM l_),
-        k_ AS (SELECT doc_id, p_, array_to_string(list_slice(ls_, p_, p_ + {width} - 1), chr(10)) AS win_ FROM w_),
-        f_ AS (SELECT doc_id, p_, row_number() OVER (PARTITION BY win_ ORDER BY doc_id, p_) AS rn_ FROM k_ WHERE strlen(win_) - {width} + 1 >= {min_chars}),
-        d_ AS (SELECT DISTINCT doc_id, p_ + o_ AS p_ FROM f_, (SELECT unnest(range({width})) AS o_) WHERE rn_ > 1),
+def line_dedup(source: str, min_chars: int = 40) -> str:
+    """Every shortest window of so many bytes, from each line on and up to each line, against the first place of an equal one."""
+    return f"""WITH l_ AS (SELECT doc_id, string_split(text, chr(10)) AS ls_ FROM {source} WHERE text IS NOT NULL),
         a_ AS (SELECT doc_id, unnest(ls_) AS line_, unnest(range(1, len(ls_) + 1)) AS p_ FROM l_),
+        c_ AS (SELECT *, sum(strlen(line_)) OVER (PARTITION BY doc_id ORDER BY p_)::BIGINT AS upto_ FROM a_),
+        b_ AS (SELECT *, (upto_ * 1000000 + p_)::BIGINT AS end_, ((upto_ - strlen(line_)) * 1000000 + p_)::BIGINT AS begin_ FROM c_),
+        w_ AS (SELECT x.doc_id, x.p_ AS from_, y.p_ AS to_ FROM b_ x ASOF JOIN b_ y ON x.doc_id = y.doc_id AND (x.begin_ - x.p_) + {min_chars} * 1000000 <= y.end_
+            UNION SELECT x.doc_id, y.p_, x.p_ FROM b_ x ASOF JOIN b_ y ON x.doc_id = y.doc_id AND (x.end_ - x.p_) - {min_chars} * 1000000 + 999999 >= y.begin_),
+        k_ AS (SELECT doc_id, from_, to_, array_to_string(list_slice(ls_, from_, to_), chr(10)) AS win_ FROM w_ JOIN l_ USING (doc_id)),
+        f_ AS (SELECT doc_id, from_, to_, row_number() OVER (PARTITION BY win_ ORDER BY doc_id, from_) AS rn_ FROM k_),
+        d_ AS (SELECT DISTINCT doc_id, unnest(range(from_, to_ + 1)) AS p_ FROM f_ WHERE rn_ > 1),
         r_ AS (SELECT a_.doc_id, string_agg(line_, chr(10) ORDER BY a_.p_) FILTER (d_.p_ IS NULL) AS text_, count(d_.p_) AS n_ FROM a_ LEFT JOIN d_ USING (doc_id, p_) GROUP BY 1)
         SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(text_, '') END AS text, lang, source, n_chars, coalesce(n_, 0)::INTEGER AS lines_removed FROM {source} d LEFT JOIN r_ USING (doc_id)"""
+
+
+def passages(source: str, least: int = 50) -> str:
+    """Every window of so many words against the first place of an equal one, all as text; whole copies of a text go as a whole."""
+    blank = "[\\x00-\\x20]"
+    return f"""WITH u_ AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS lead_, regexp_extract_all(text, '[^\\x00-\\x20]+{blank}*') AS ps_ FROM {source} WHERE text IS NOT NULL),
+        s_ AS (SELECT doc_id, text, ps_, list_transform(ps_, lambda p: regexp_replace(p, '{blank}+$', '')) AS ws_ FROM u_ WHERE doc_id = lead_ AND len(ps_) >= {least}),
+        p_ AS (SELECT doc_id, ws_, unnest(range(1, len(ws_) - {least} + 2)) AS p_ FROM s_),
+        w_ AS (SELECT doc_id, p_, array_to_string(list_slice(ws_, p_, p_ + {least} - 1), ' ') AS win_ FROM p_),
+        f_ AS (SELECT doc_id, p_, row_number() OVER o_ AS rn_, first_value(doc_id) OVER o_ AS first_ FROM w_ WINDOW o_ AS (PARTITION BY win_ ORDER BY doc_id, p_)),
+        h_ AS (SELECT doc_id, list_sort(list(DISTINCT first_)) AS first_doc_ids FROM f_ WHERE rn_ > 1 GROUP BY doc_id),
+        d_ AS (SELECT DISTINCT doc_id, unnest(range(p_, p_ + {least})) AS p_ FROM f_ WHERE rn_ > 1),
+        a_ AS (SELECT doc_id, unnest(ps_) AS piece_, unnest(range(1, len(ps_) + 1)) AS p_ FROM s_ WHERE doc_id IN (SELECT doc_id FROM h_)),
+        r_ AS (SELECT a_.doc_id, coalesce(string_agg(piece_, '' ORDER BY a_.p_) FILTER (d_.p_ IS NULL), '') AS rest_, count(d_.p_)::INTEGER AS words_removed FROM a_ LEFT JOIN d_ USING (doc_id, p_) GROUP BY 1)
+        SELECT doc_id, regexp_extract(text, '^{blank}*') || rest_ AS text, words_removed, first_doc_ids FROM r_ JOIN h_ USING (doc_id) JOIN s_ USING (doc_id)
+        UNION ALL SELECT doc_id, '', len(ps_)::INTEGER, [lead_] FROM u_ WHERE doc_id > lead_ AND len(ps_) >= {least}"""
