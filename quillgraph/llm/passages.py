@@ -17,9 +17,10 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.llm import kernels
-from quillgraph.llm.common import strings
+from quillgraph.llm.common import order_key, strings
 from quillgraph.llm.lines import window_runs
 from quillgraph.sources.staging import stage
 
@@ -304,13 +305,16 @@ def drop_repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle:
     ``first_doc_ids`` are the documents that hold the first copy of each run of
     ``min_words`` words that goes. Words are
     runs of bytes other than blanks; case and punctuation matter, the blanks
-    between words don't. Null, empty and short texts never appear; rows with a
-    null key are last in order and appear with a null id. Rows equal in key and
-    text are one document. Marks of more than ``hot`` places are compared window
-    by window in a distributed aggregation in place of one suffix array.
+    between words don't. Null, empty and short texts never appear, nor does
+    anything of an empty table; rows with a null key are last in order and appear
+    with a null id. Keys that are no integers are in the order of their hash. Rows
+    equal in key and text are one document. Texts of any length are read whole;
+    one text must fit a worker, with some forty times its size beside it. Marks of
+    more than ``hot`` places are compared window by window in a distributed
+    aggregation in place of one suffix array.
     """
     last = F.lit((1 << 63) - 1)
-    source = docs.select(F.coalesce(F.col(key).cast("long"), last).alias("doc"), F.xxhash64(text).alias("same"), F.col(text).alias("text")).where("text is not null")
+    source = docs.select(order_key(docs, key).alias("doc"), F.xxhash64(text).alias("same"), F.col(text).alias("text")).where("text is not null")
     marks = source.mapInArrow(_marks(min_words, shingle), _MARK)
     shared = marks.repartition("mark").mapInArrow(_shared(hot), _MARK + ", hot boolean")
     wanted = shared.groupBy("doc", "same").agg(F.collect_list(F.struct("mark", "first", "windows", "hot")).alias("marks"))
@@ -329,7 +333,16 @@ def drop_repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle:
     lead = source.groupBy("same").agg(F.min("doc").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = source.join(lead, "same").where("doc > lead").withColumn("words", words).where(F.col("words") >= min_words)
     whole = copies.dropDuplicates(["doc", "same"]).select("doc", F.lit("").alias("text"), F.col("words").alias("words_removed"), F.array("lead").alias("first_doc_ids"))
-    return changed.unionByName(whole).select(F.when(F.col("doc") != last, F.col("doc")).alias("doc_id"), "text", "words_removed", "first_doc_ids")
+    out = changed.unionByName(whole).select(F.when(F.col("doc") != last, F.col("doc")).alias("doc_id"), "text", "words_removed", "first_doc_ids")
+    if isinstance(docs.schema[key].dataType, T.IntegralType):
+        return out
+    # Back from the hashes of keys to the keys.
+    out = stage(out)
+    names = docs.select(order_key(docs, key).alias("k"), F.col(key).alias("name")).where("name is not null").distinct()
+    firsts = out.select("doc_id", F.xxhash64("text").alias("t"), F.explode("first_doc_ids").alias("k")).join(names, "k").groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("name")).alias("first_doc_ids"))
+    own = out.join(names, out["doc_id"] == names["k"], "left").select("doc_id", F.col("name"), "text", "words_removed", F.xxhash64("text").alias("t"))
+    same = own["doc_id"].eqNullSafe(firsts["doc_id"]) & (own["t"] == firsts["t"])
+    return own.join(firsts, same, "left").select(own["name"].alias("doc_id"), "text", "words_removed", "first_doc_ids")
 
 
 def _typed(f):
