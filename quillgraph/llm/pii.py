@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import kernels
 
-LABELS = ["O", "EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN", "SECRET"]
+KINDS = ["EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN", "SECRET"]
+#: Outside, and of each kind the first token of a piece and any later one.
+LABELS = ["O", *[f"{place}-{kind}" for kind in KINDS for place in "BI"]]
 #: Sentences of the labelled table and steps of training.
-SENTENCES, STEPS = 1600, 180
+SENTENCES, STEPS = 1600, 120
 
 _KIND = np.zeros(256, np.uint8)  # 0 blank, 1 lower, 2 upper, 3 digit, 4 of a longer character, 5 other
 for _i in range(33, 256):
@@ -129,7 +131,7 @@ def training_table(n: int = SENTENCES, seed: int = 5) -> list[tuple[str, list[tu
 
     def card() -> str:
         parts = [digits(4) for _ in range(4)]
-        return rng.choice(["", "", " ", "-"]).join(parts)
+        return rng.choice(["", "", "", " ", "-"]).join(parts)
 
     def secret() -> str:
         return rng.choice([lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 40, 64]))), lambda: "".join(rng.choice("0123456789" + letters + letters.upper()) for _ in range(rng.randint(24, 44)))])()
@@ -143,6 +145,7 @@ def training_table(n: int = SENTENCES, seed: int = 5) -> list[tuple[str, list[tu
                 lambda: f"{digits(2)},{digits(3)}", lambda: f"{digits(2)},{digits(3)},{digits(3)}", lambda: f"https://www.{ascii_word()}.com/{ascii_word()}/{digits(3)}?page={digits(1)}&ref={ascii_word(1, 3)}", lambda: f"www.{ascii_word()}.org", lambda: f"@{ascii_word()}", lambda: f"{ascii_word()}-{ascii_word()}-{ascii_word()}", lambda: f"{ascii_word()}.{ascii_word()}.{ascii_word()}()",
                 lambda: f"{digits(1)}-{digits(1)}", lambda: f"{digits(4)}-{digits(4)}", lambda: f"#{digits(3)}", lambda: f"[{digits(2)}]", lambda: f"({digits(4)})", lambda: f"+{digits(2)}%", lambda: f"v{digits(1)}.{digits(2)}", lambda: f"{ascii_word(1, 3)}{digits(2)}", lambda: f"{ascii_word()} = {digits(2)}", lambda: f'{ascii_word()} = "{ascii_word()}"', lambda: "".join(rng.choice("0123456789abcdef") for _ in range(7)),
                 lambda: rng.choice(["***", "###", "$$$", "%%%", "&&&", "!!!", "...", "---"]), lambda: f"{ascii_word().upper()}{digits(1)}", lambda: f"{digits(3)} {digits(4)}", lambda: f"{digits(1)} {digits(2)} {digits(2)}", lambda: f"{word()} @ {word()}", lambda: f"({word()}) {word()}", lambda: f"({digits(3)}) {word()}", lambda: f"({digits(2)}) {digits(2)}", lambda: ascii_word(20, 40),
+                lambda: "-".join("".join(rng.choice("0123456789abcdef") for _ in range(k)) for k in (8, 4, 4, 4, 12)), lambda: f"{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(2)}.{digits(1)}.{digits(4)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}",
             ]
         )()
 
@@ -157,14 +160,19 @@ def training_table(n: int = SENTENCES, seed: int = 5) -> list[tuple[str, list[tu
                 text += rng.choice([" ", " ", " ", " ", " ", "\n"])
             roll = rng.random()
             if (k == lead and rng.random() < 0.75) or roll < 0.04:
-                label = rng.choice(LABELS[1:])
+                label = rng.choice(KINDS)
                 quote = label == "SECRET" and rng.random() < 0.7
                 before = rng.choice(['token = "', 'key="', "password: '", '"', "api_key: "]) if quote else rng.choice(["", "", "", "", "(", "<", '"', "mail: ", "tel.: "])
                 after = {'"': '"', "'": "'", "(": ")", "<": ">"}.get(before[-1:], "") + (rng.choice([",", ".", ";", "!", "?"]) if rng.random() < 0.25 else "")
-                value = makers[label]()
-                begin = len((text + before).encode())
-                spans.append((begin, begin + len(value.encode()), label))
-                text += before + value + after
+                text += before
+                for again in range(1 if rng.random() < 0.8 or quote else rng.randint(2, 3)):
+                    # Several of a kind in a row, with nothing but a blank or a comma between them.
+                    text += rng.choice([" ", " ", ", ", "\n"]) if again else ""
+                    value = makers[label]()
+                    begin = len(text.encode())
+                    spans.append((begin, begin + len(value.encode()), label))
+                    text += value
+                text += after
             elif roll < 0.2:
                 text += outside()
             else:
@@ -174,6 +182,16 @@ def training_table(n: int = SENTENCES, seed: int = 5) -> list[tuple[str, list[tu
     return out
 
 
+def train_on(table: DataFrame, max_rows: int = 20_000, seed: int = 5) -> Field:
+    """The field of a labelled table ``(text, spans)`` as :func:`labelled_table` gives it.
+
+    At most ``max_rows`` rows, drawn by a seeded hash of the text, go to the
+    driver, which trains on all of them at once. Rows without a text are left out.
+    """
+    rows = table.where("text is not null").orderBy(F.xxhash64(F.lit(seed), "text"), "text").limit(max_rows).collect()
+    return train([(r["text"], [(s["begin"], s["stop"], s["label"]) for s in r["spans"] or []]) for r in rows])
+
+
 def labelled_table(spark: SparkSession, n: int = SENTENCES, seed: int = 5) -> DataFrame:
     """:func:`training_table` as ``(text, spans)``; a table of one's own may stand in for it."""
     return spark.createDataFrame(training_table(n, seed), "text string, spans array<struct<begin:int, stop:int, label:string>>")
@@ -242,7 +260,7 @@ class Field:
         return label
 
 
-def train(table: Sequence[tuple[str, Sequence[tuple[int, int, str]]]], steps: int = STEPS, rate: float = 0.5, decay: float = 1e-4) -> Field:
+def train(table: Sequence[tuple[str, Sequence[tuple[int, int, str]]]], steps: int = STEPS, rate: float = 1.0, decay: float = 1e-4) -> Field:
     """Greatest conditional likelihood by full-batch AdaGrad, with forward and backward sums over all sentences at once."""
     table = sorted(table, key=lambda x: -len(x[0]))
     texts = pa.array([t for t, _ in table], pa.string())
@@ -257,7 +275,9 @@ def train(table: Sequence[tuple[str, Sequence[tuple[int, int, str]]]], steps: in
     for r, (_, spans) in enumerate(table):
         for begin, stop, label in spans:
             own = slice(row_at[r], row_at[r + 1])
-            truth[own][(start[own] - byte_at[r] >= begin) & (end[own] - byte_at[r] <= stop)] = LABELS.index(label)
+            at = np.flatnonzero((start[own] - byte_at[r] >= begin) & (end[own] - byte_at[r] <= stop)) + row_at[r]
+            truth[at] = LABELS.index(f"I-{label}")
+            truth[at[:1]] = LABELS.index(f"B-{label}")
     rows, width, m = len(table), int(np.diff(row_at).max()), len(LABELS)
     row = np.repeat(np.arange(rows), np.diff(row_at))
     col = np.arange(len(start)) - row_at[row]
@@ -321,16 +341,17 @@ def default_field() -> Field:
 
 
 def find_spans(field: Field, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first byte in the row, end, label) of the personal data in texts."""
+    """(row, first byte in the row, end, kind) of the personal data in texts; kinds as places in KINDS."""
     raw, start, end, symbol, row_at = shapes(texts)
     label = field.decode(feature_ids(symbol, row_at), row_at)
     at = np.flatnonzero(label)
     row = np.searchsorted(row_at, at, "right") - 1
-    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (label[at[1:]] != label[at[:-1]]) | (row[1:] != row[:-1])]) if len(at) else np.zeros(0, bool)
+    kind, first_token = (label[at] - 1) >> 1, (label[at] & 1) == 1
+    new = np.concatenate([[True], first_token[1:] | (at[1:] != at[:-1] + 1) | (kind[1:] != kind[:-1]) | (row[1:] != row[:-1])]) if len(at) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     stop = np.concatenate([first[1:] - 1, [len(at) - 1]]) if len(at) else first
     begin = kernels.buffers(texts)[1][row[first]]
-    return row[first], start[at[first]] - begin, end[at[stop]] - begin, label[at[first]]
+    return row[first], start[at[first]] - begin, end[at[stop]] - begin, kind[first]
 
 
 def personal_data(docs: DataFrame, field: Field | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,14 +359,16 @@ def personal_data(docs: DataFrame, field: Field | None = None, key: str = "doc_i
 
     ``begin`` and ``stop`` count bytes of UTF-8. ``field`` is trained from
     :func:`training_table` by default and broadcast; its size does not depend on
-    the documents. Null and empty texts have nothing; rows with a null key
-    appear with a null id, and repeated rows each give their own. Pieces of one
-    kind with nothing but blanks between them are one.
+    the documents. Keys keep their type. Null and empty texts have nothing; rows
+    with a null key appear with a null id, and repeated rows each give their own.
+    A table without rows gives none. Pieces of one kind beside each other are
+    told apart by the label of first tokens. A text of any length is read whole;
+    it must fit a worker, with some fifty times its size beside it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field or default_field())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(LABELS)
+        names = pa.array(KINDS)
         for batch in batches:
             for at, texts in kernels.slices(batch.column(1).fill_null("")):
                 row, begin, stop, label = find_spans(shared.value, texts)
@@ -353,7 +376,7 @@ def personal_data(docs: DataFrame, field: Field | None = None, key: str = "doc_i
                 values = [raw[offsets[r] + b : offsets[r] + s].tobytes().decode() for r, b, s in zip(row, begin, stop)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + at)), names.take(pa.array(label)), pa.array(begin, pa.int32()), pa.array(stop, pa.int32()), pa.array(values, pa.string())], ["doc_id", "kind", "begin", "stop", "value"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, "doc_id long, kind string, begin int, stop int, value string")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, f"doc_id {docs.schema[key].dataType.simpleString()}, kind string, begin int, stop int, value string")
 
 
 def redact(docs: DataFrame, field: Field | None = None, text: str = "text") -> DataFrame:
@@ -369,7 +392,7 @@ def redact(docs: DataFrame, field: Field | None = None, text: str = "text") -> D
             for r in np.flatnonzero(np.diff(bounds)):
                 raw, parts, at = plain[r].encode(), [], 0
                 for k in range(bounds[r], bounds[r + 1]):
-                    parts += [raw[at : begin[k]], f"[{LABELS[label[k]]}]".encode()]
+                    parts += [raw[at : begin[k]], f"[{KINDS[label[k]]}]".encode()]
                     at = stop[k]
                 plain[r] = b"".join([*parts, raw[at:]]).decode()
             out += plain
