@@ -12,14 +12,22 @@ sum over a text is its count. States are compiled when first reached.
 Texts are cut into chunks that advance in lock step. A chunk maps the state at
 its beginning to one at its end and a count; from the first piece that begins
 in it on, the map no longer depends on the state, so a map is a head of bytes,
-a count and an end. Composing these maps, an associative operation, is the scan
-that carries states over the chunks.
+a count and an end. Composed with any map before it, such a map has its own end:
+so the prefix scan over the maps is settled at once for every chunk but those
+that lie whole within a piece, and all heads are read in lock step, each from the
+end of what comes before. Chunks within one long piece follow one another, all
+such pieces side by side.
+
+The driver compiles the states of some texts and broadcasts them with the
+automaton, as a cache that all workers begin with.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import unicodedata
+import uuid
 from array import array
 from collections.abc import Mapping
 from pathlib import Path
@@ -136,18 +144,32 @@ class Transducer:
                 self.link[child] = self.goto[f].get(b, 0)
                 queue.append(child)
         self.apart: dict[tuple[int, int], bool] = {}
+        self.states: list[bytes] = []
+        self.base = 0
         self.flush()
 
     def flush(self) -> None:
-        """Forgets all states but the first."""
-        self.states: list[bytes] = []
-        self.number: dict[bytes, int] = {}
-        self.filled = 0
-        self.shift = 64 - 18
-        self.keys = np.full(1 << 18, -1, np.int64)
-        self.step = np.zeros(1 << 18, np.int32)
-        self.adds = np.zeros(1 << 18, np.int16)
-        self.intern(0, [-1, 0])
+        """Forgets all states but those kept."""
+        base = self.base
+        old = np.flatnonzero((self.keys >= 0) & (self.keys >> 8 < base) & (self.step < base)) if base > 1 else np.zeros(0, np.int64)
+        flat, step, adds = (x[old] for x in (self.keys, self.step, self.adds)) if base > 1 else (np.zeros(0, np.int64),) * 3
+        self.states = self.states[:base] if base > 1 else []
+        self.number: dict[bytes, int] = {s: i for i, s in enumerate(self.states)}
+        self.apart = {}
+        bits = max(18, (2 * len(flat)).bit_length() + 1)
+        self.shift = 64 - bits
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.step = np.zeros(1 << bits, np.int32)
+        self.adds = np.zeros(1 << bits, np.int16)
+        self.filled = len(flat)
+        if base > 1:
+            self.put(flat, step, adds)
+        else:
+            self.intern(0, [-1, 0])
+
+    def keep(self) -> None:
+        """Keeps the present states when others are forgotten."""
+        self.base = len(self.states)
 
     def merge(self, piece: bytes) -> list[bytes]:
         """Tokens of a piece by its definition: the leftmost pair of least rank is merged first."""
@@ -256,20 +278,24 @@ class Transducer:
             state = self.step[at].astype(np.int64)
         return state
 
-    def scan(self, state: int, data: bytes) -> tuple[int, int]:
-        """(state, tokens added) after one lane reads bytes of a piece."""
-        total = 0
-        for b in data:
-            flat = state * 256 + b
-            at = ((flat * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> self.shift
-            while (key := self.keys.item(at)) != flat and key >= 0:
-                at = (at + 1) & (len(self.keys) - 1)
-            if key < 0:
-                self.compile(np.array([flat], np.int64))
-                at = int(self.place(np.array([flat], np.int64))[0])
-            total += self.adds.item(at)
-            state = self.step.item(at)
-        return state, total
+    def read(self, state: np.ndarray, raw: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states, tokens added) after lanes read bytes of a piece from ``begin`` on, in lock step."""
+        order = np.argsort(-length, kind="stable")
+        now, at0, size = state[order].copy(), begin[order], length[order]
+        total = np.zeros(len(order), np.int64)
+        for k in range(int(size[0]) if len(size) else 0):
+            live = int(np.searchsorted(-size, -k, "left"))  # lanes longer than k
+            flat = now[:live] * 256 + raw[at0[:live] + k]
+            at = self.place(flat)
+            new = self.keys[at] < 0
+            if new.any():
+                self.compile(np.unique(flat[new]))
+                at = self.place(flat)
+            total[:live] += self.adds[at]
+            now[:live] = self.step[at]
+        out, added = np.empty_like(now), np.empty_like(total)
+        out[order], added[order] = now, total
+        return out, added
 
     def counts(self, texts: pa.Array, chunk: int = CHUNK) -> np.ndarray:
         """Tokens of each text; 0 for null and empty ones."""
@@ -301,12 +327,18 @@ class Transducer:
         state = self.run(np.zeros(lanes, np.int64), grid, resets, added)
         added = added.T.astype(np.int64).ravel()[:n]
         total = np.concatenate([[0], np.cumsum(np.where(inside.T.ravel()[:n], 0, added))])
-        # Composition: the end of what came before is carried over each head, which adds to the row that it lies in.
+        # Composition: each head is read from the end of the chunk before, once that is known.
         extra = np.zeros(lanes, np.int64)
-        carried = 0
-        for lane in np.flatnonzero(body > edges).tolist():
-            entry = carried if lane and body[lane - 1] == ends[lane - 1] and body[lane - 1] > edges[lane - 1] else int(state[lane - 1])
-            carried, extra[lane] = self.scan(entry, raw[edges[lane] : body[lane]].tobytes())
+        heads = np.flatnonzero(body > edges)
+        whole = body == ends
+        known = ~whole
+        while len(heads):
+            ready = known[heads - 1] | (heads == 0)
+            own = heads[ready]
+            after, extra[own] = self.read(state[own - 1], raw, edges[own], body[own] - edges[own])
+            inner = own[whole[own]]
+            state[inner], known[inner] = after[whole[own]], True
+            heads = heads[~ready]
         # A row begins a piece, so a head lies in one row: that of its first byte.
         out = np.diff(total[at])
         heads = np.flatnonzero(extra)
@@ -317,23 +349,43 @@ class Transducer:
 _made: dict[str, Transducer] = {}
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
+@functools.cache
+def _automaton(vocabulary: str) -> Transducer:
+    """The automaton of a rank file, made once in a driver."""
+    return Transducer(read_ranks(vocabulary))
+
+
+def warmed(docs: DataFrame, vocabulary: str, text: str, rows: int, limit: int) -> Transducer:
+    """A transducer with the states that up to ``rows`` rows and ``limit`` bytes of text need; all others are compiled where they are met."""
+    machine = _automaton(vocabulary)
+    left = limit
+    for batch in docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= limit)).limit(rows).toArrow().to_batches(max_chunksize=64):
+        if left > 0:
+            machine.counts(batch.column(0))
+            left -= batch.nbytes
+    machine.keep()
+    return machine
+
+
+def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "n_tokens", warm_rows: int = 1_500, warm_bytes: int = 3 << 20) -> DataFrame:
     """``docs`` with the number of tokens of each text; a narrow projection without shuffle.
 
-    ``vocabulary`` is the path of a rank file, read by the driver and broadcast
-    (about a megabyte); the pattern is that of byte-level vocabularies of 50k
-    tokens, and special tokens in a text are ordinary text. A null text has null
-    tokens, an empty one 0; repeated rows are counted alike. A column already
-    named ``out`` is replaced.
+    ``vocabulary`` is the path of a rank file, read by the driver; the pattern is
+    that of byte-level vocabularies of 50k tokens, and special tokens in a text
+    are ordinary text. The automaton is broadcast (some 50 MB, whatever the
+    corpus) with the states that ``warm_rows`` rows or ``warm_bytes`` of text need:
+    a cache, on which no count depends. A null text has null tokens, an empty one
+    0; repeated rows are counted alike, and a table without rows stays empty. A
+    text of any length is counted whole; it must fit a worker, with some fifty
+    times its size beside it. A column already named ``out`` is replaced.
     """
-    ranks = read_ranks(vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    key = str(hash(frozenset(ranks.items())))
+    shared = docs.sparkSession.sparkContext.broadcast(warmed(docs, vocabulary, text, warm_rows, warm_bytes))
+    key = uuid.uuid4().hex
 
     def count(texts: pa.Array) -> pa.Array:
         if key not in _made:
             _made.clear()
-            _made[key] = Transducer(shared.value)
+            _made[key] = shared.value
         parts = [_made[key].counts(rows) for _, rows in kernels.slices(texts)]
         n = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         return pa.array(n, pa.int64(), mask=texts.is_null().to_numpy(zero_copy_only=False))
