@@ -191,7 +191,7 @@ def test_url_rules_brute_force(spark):
     for url, _ in rows:
         want = best(url, rules.items())
         assert out[url][0] == (want is not None) and (want is None or abs(out[url][1] - want) < 1e-12)
-    assert out["https://ads.example.com/win/x"][0] if "https://ads.example.com/win/x" in out else True
+    assert any(rejected for rejected, _ in out.values()) and not all(rejected for rejected, _ in out.values())
 
 
 def test_epochs_by_rounds(spark):
@@ -274,7 +274,7 @@ def test_leaks_of_four_words(spark):
 def test_personal_data_held_out(field):
     held = pii.training_table(500, 99)
     row, begin, stop, label = pii.find_spans(field, pa.array([t for t, _ in held]))
-    got = {(int(r), int(b), int(s), pii.LABELS[k]) for r, b, s, k in zip(row, begin, stop, label)}
+    got = {(int(r), int(b), int(s), pii.KINDS[k]) for r, b, s, k in zip(row, begin, stop, label)}
     want = {(i, *s) for i, (_, spans) in enumerate(held) for s in spans}
     assert len(got & want) >= 0.95 * len(got) and len(got & want) >= 0.93 * len(want)
 
@@ -404,5 +404,160 @@ def test_stage_on_awkward_rows(spark, k):
     name, step = corpus_pipeline.STAGES[k]
     d = messy(spark)
     out = step(spark, d, SF)
-    assert out.count() <= 2 * d.count() and set(out.columns) >= set(d.columns)
-    assert step(spark, d.limit(0), SF).count() == 0
+    assert set(out.columns) >= set(d.columns) and step(spark, d.limit(0), SF).count() == 0
+    rows = out.collect()
+    ids = sorted(r["doc_id"] or 0 for r in rows)
+    assert all(r["kept"] == "own" and r["item_id"] == "own" for r in rows)
+    if name == "quality_rules":
+        assert not {1, 2, 4} & set(ids) and {0, 3, 7} <= set(ids)
+    elif name == "mixing":
+        # Null texts count nothing; null is a source, of four characters here.
+        assert set(ids) <= {0, 1, 2, 3, 4, 5, 6, 7, 8} and max(ids.count(i) for i in set(ids)) <= 4 and ids.count(3) % 2 == 0
+    else:
+        assert ids == [0, 1, 2, 3, 3, 4, 5, 6, 7, 8]
+    if name == "sharding":
+        shard = {r["doc_id"]: r["shard"] for r in rows}
+        assert len(shard) == 9 and all(0 <= s < 16 for s in shard.values())
+
+
+def test_lines_brute_force(spark):
+    rng = random.Random(21)
+    pool = [prose(rng, 1)[: rng.randint(0, 9)] for _ in range(6)] + [prose(rng, rng.randint(3, 9)) for _ in range(4)] + [""]
+    rows = [(d, "\n".join(rng.choice(pool) if rng.random() < 0.8 else prose(rng, 2) for _ in range(rng.randint(1, 14)))) for d in range(60)]
+    least, seen, want = 30, set(), {}
+    for d, t in rows:
+        lines = t.split("\n")
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = tuple(lines[a:b])
+                if sum(len(x) for x in run) >= least and run in seen:
+                    gone.update(range(a, b))
+                seen.add(run)
+        want[d] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()}
+    assert got == want and sum(n for _, n in want.values()) > 100
+
+
+def test_keys_of_any_type(spark, docs, field):
+    some = docs.where("doc_id < 150").withColumn("doc_id", F.concat(F.lit("doc-"), "doc_id"))
+    back = lambda name: int(name.removeprefix("doc-"))
+    plain = docs.where("doc_id < 150")
+    copies = simhash.near_duplicates(some).collect()
+    groups = lambda pairs: {frozenset(m) for m in _classes(pairs)}
+    assert copies and groups([(back(r["doc_id"]), back(r["kept_id"])) for r in copies]) == groups([tuple(r) for r in simhash.near_duplicates(plain).collect()])
+    assert simhash.drop_near_duplicates(some).count() == 150 - len(copies)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    found = lambda d, b: {tuple(str(x).removeprefix("doc-").removeprefix("item-") for x in r) for r in decontaminate.contaminated(d, b).collect()}
+    assert found(some, bench.withColumn("item_id", F.concat(F.lit("item-"), "item_id"))) == found(plain, bench)
+    pieces = lambda d: sorted((str(r["doc_id"]).removeprefix("doc-"), r["value"]) for r in pii.personal_data(d, field).collect())
+    assert pieces(some) == pieces(plain)
+    assert drop_repeated_lines(some).where("lines_removed > 0").count() > 0 and drop_repeated_lines(some).count() == 150
+    text = "a copy of " + prose(random.Random(5), 80)
+    twice = spark.createDataFrame([("x", text), ("y", text + " more"), ("z", "else")], "doc_id string, text string")
+    lost = drop_repeated_passages(twice).collect()
+    assert len(lost) == 1 and {lost[0]["doc_id"], *lost[0]["first_doc_ids"]} == {"x", "y"}
+
+
+def _classes(pairs):
+    members = defaultdict(set)
+    for a, b in pairs:
+        members[b] |= {a, b}
+    return members.values()
+
+
+def test_columns_of_joined_names_keep_their_values(spark):
+    line = "a line that repeats and is long enough to count as one\n"
+    d = spark.createDataFrame([(1, line, "own", "own"), (2, line + "x", "own", "own")], "doc_id long, text string, doc_key_d string, same_key_d string")
+    assert [(r["text"], r["doc_key_d"], r["same_key_d"]) for r in drop_repeated_lines(d).orderBy("doc_id").collect()] == [(line, "own", "own"), ("x", "own", "own")]
+
+
+@pytest.mark.parametrize("n", range(1, 11))
+def test_very_long_texts(spark, field, n):
+    """A text of 12 MB in one line, and one of many lines, beside a short one."""
+    rng = random.Random(31)
+    piece = prose(rng, 2_000)
+    words = " ".join(f"{piece[k:]} w{k}" for k in range(0, 600))
+    assert len(words) > 5_000_000
+    rows = [(1, words, "en", "a", 1), (2, words.replace(" ", "\n"), "en", "a", 1), (3, "short one", "en", "a", 1)]
+    out = runs(spark, field)[n](spark.createDataFrame(rows, SCHEMA)).collect()
+    ids = [r["doc_id"] for r in out if "doc_id" in r]
+    if n in (1, 3, 4, 7, 10):
+        assert sorted(ids) == [1, 2, 3]
+    if n == 2:
+        assert sorted(ids) == [1, 3]  # equal but for line ends
+    if n == 8:
+        assert not [r for r in out if r["kind"] not in pii.KINDS]
+    if n == 9:
+        assert sorted(ids) == [1, 2] and all(r["words_removed"] > 100_000 for r in out)
+    if n == 10:
+        assert {r["doc_id"]: r["n_tokens"] for r in out}[1] > 1_000_000
+
+
+def test_thresholds_are_the_same_in_every_run(spark):
+    from quillgraph.llm.quality import RULES, thresholds
+
+    m = spark.range(200_000, numPartitions=16).select(F.lit("en").alias("lang"), (F.col("id") % 3).cast("string").alias("source"), *[(F.rand(7) * (k + 1)).alias(r) for k, r in enumerate(RULES)])
+    one, two = (sorted(map(tuple, thresholds(m.repartition(k), RULES, 3.0, 50).collect())) for k in (4, 11))
+    assert one == two and len(one) == 3
+
+
+@pytest.mark.parametrize("planned", [200_000, 15_000_000])
+def test_simhash_finds_planted_pairs_with_the_plan_of_a_large_corpus(planned):
+    rng = np.random.default_rng(8)
+    width, radii = simhash.plan_radii(np.full(256 * simhash.BLOCKS, planned // 256), planned)
+    probes = simhash.Probes(rng.permutation(simhash.BITS), width, radii)
+    probes.more[:, ::5] = 3  # some buckets are split
+    pairs, fps = [], []
+    for d in (20, 30, 40):
+        for _ in range(300):
+            bits = rng.integers(0, 2, simhash.BITS, dtype=np.uint8)
+            other = bits.copy()
+            other[rng.choice(simhash.BITS, d, replace=False)] ^= 1
+            pairs.append((d, len(fps), len(fps) + 1))
+            fps += [bits, other]
+    packed = np.packbits(np.stack(fps), axis=1, bitorder="little").view("<u8")
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(fps))), *[pa.array(packed[:, k].view(np.int64)) for k in range(simhash.LONGS)]], ["id", *simhash.FP])
+    met = {(min(a, b), max(a, b)) for out in probes.meet(probes.ship([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+    share = {d: np.mean([(a, b) in met for k, a, b in pairs if k == d]) for d in (20, 30, 40)}
+    assert share[20] >= 0.99 and share[30] >= 0.95 and share[40] >= 0.86, share  # 0.9 by the model, and 300 draws
+    assert met <= {(a, b) for _, a, b in pairs}
+
+
+def test_simhash_in_split_buckets(spark, docs):
+    rows = docs.where("text is not null").select("doc_id", "text")
+    one, two = (sorted(map(tuple, simhash.near_duplicates(rows, bucket_rows=k).collect())) for k in (1 << 20, 8))
+    assert one == two and one
+
+
+def test_personal_data_in_documents(spark, field):
+    """Whole documents against strict patterns, which the training never saw."""
+    import re
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pattern = {"EMAIL": r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "IP": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.])", "CARD": r"(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)"}
+    got = defaultdict(set)
+    for r in pii.personal_data(d, field).collect():
+        got[r["kind"]].add((r["doc_id"], r["value"]))
+    for kind, p in pattern.items():
+        want = {(r["doc_id"], m) for r in d.collect() for m in re.findall(p, r["text"] or "")}
+        assert len(got[kind] & want) >= 0.9 * len(want) > 5 and len(got[kind] & want) >= 0.9 * len(got[kind]), kind
+
+
+@pytest.mark.parametrize("text, want", [("a.b@x.com c.d@y.org", [("EMAIL", "a.b@x.com"), ("EMAIL", "c.d@y.org")]), ("call 555-123-4567 555-987-6543 now", [("PHONE", "555-123-4567"), ("PHONE", "555-987-6543")]), ("id 123e4567-e89b-12d3-a456-426614174000 of v1.2.34", [])])
+def test_pieces_beside_each_other(spark, field, text, want):
+    d = spark.createDataFrame([("k", text)], "doc_id string, text string")
+    assert [(r["kind"], r["value"]) for r in pii.personal_data(d, field).orderBy("begin").collect()] == want
+
+
+def test_training_on_a_table(spark):
+    few = pii.train_on(pii.labelled_table(spark, 150), max_rows=120)
+    row, begin, stop, kind = pii.find_spans(few, pa.array(["mail to ab.c@example.com please"]))
+    assert len(few.moves) == len(pii.LABELS) and (len(row) == 0 or kind[0] < len(pii.KINDS))
+
+
+def test_index_of_a_benchmark_stays_small():
+    rng = random.Random(1)
+    items = [prose(rng, rng.randint(15, 60)) for _ in range(4000)]
+    index = decontaminate.Index(list(range(len(items))), pa.array(items), decontaminate.MAX_EDITS)
+    assert index.size_in_bytes() <= 12 * sum(map(len, items))
