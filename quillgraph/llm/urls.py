@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,8 +11,6 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import free_name
 from quillgraph.sources.staging import small_enough, stage
 
-#: The item that stands for the label.
-_BAD = "!bad"
 
 
 def url_tokens(url: Column) -> Column:
@@ -36,22 +36,27 @@ def url_tokens(url: Column) -> Column:
     return F.when(url.isNotNull(), F.array_sort(F.array_distinct(every)))
 
 
-def mine_rules(labelled: DataFrame, min_support: int = 5, min_confidence: float = 0.6, url: str = "url", bad: str = "bad") -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: int = 5, min_confidence: float = 0.6, url: str = "url", bad: str = "bad", min_share: float = 0.0005, broadcast_sets: int = 100_000) -> DataFrame:
     """``(tokens, support, bad, confidence)`` of the token combinations that predict a bad URL.
 
-    A rule holds for ``min_support`` bad URLs at least, with the share
-    ``min_confidence`` of its URLs bad. A rule is left out if a part of it is as
-    confident. Tokens that always appear together are mined as one, as every
-    choice of them has the same support; a rule names them all. Rows with a null
-    URL or label are left out, repeated rows count each.
+    A rule holds for ``min_support`` bad URLs and the share ``min_share`` of them
+    at least, so that the number of combinations doesn't grow with the labels;
+    the share ``min_confidence`` of its URLs is bad. A rule is left out if a part
+    of it is as confident. Combinations are mined among the bad URLs alone; how
+    many other URLs have them is counted by an inverted index on their rarest
+    token. Tokens that always appear together are mined as one, as every choice of
+    them has the same support; a rule names them all. Rows with a null URL or
+    label are left out, repeated rows count each; without enough bad URLs there
+    are no rules.
     """
     rows = labelled.where(F.col(url).isNotNull() & F.col(bad).isNotNull()).select(url_tokens(F.col(url)).alias("tokens"), F.col(bad).cast("int").alias("bad"), F.monotonically_increasing_id().alias("id"))
     rows = stage(rows)
     each = rows.select("id", F.explode("tokens").alias("token"))
-    n = rows.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    n_bad = rows.where("bad = 1").count()
     spark = labelled.sparkSession
     schema = "tokens array<string>, support long, bad long, confidence double"
-    if n[1] < min_support:
+    min_support = max(1, min_support, math.ceil(min_share * n_bad))
+    if n_bad < min_support:
         return spark.createDataFrame([], schema)
     # Only tokens with enough bad URLs can be part of a rule.
     common = rows.where("bad = 1").select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= min_support).select("token")
@@ -61,16 +66,20 @@ def mine_rules(labelled: DataFrame, min_support: int = 5, min_confidence: float
         .agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("where"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("where2"))
         .groupBy("n", "where", "where2")
         .agg(F.array_sort(F.collect_list("token")).alias("members"))
-        .select(F.col("members")[0].alias("item"), "members")
+        .select(F.col("members")[0].alias("item"), "members", "n")
     )
     kinds = stage(kinds)
-    baskets = each.join(kinds, each.token == kinds.item).groupBy("id").agg(F.collect_list("item").alias("items"))
-    baskets = rows.select("id", "bad").join(baskets, "id").select(F.concat("items", F.when(F.col("bad") == 1, F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support / n[0] * (1 - 1e-9), 1e-12), minConfidence=0.0).fit(baskets)
-    sets = stage(model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n")))
-    hits = sets.where(F.array_contains("items", _BAD) & (F.size("items") > 1)).select(F.array_except("items", F.array(F.lit(_BAD))).alias("items"), F.col("n").alias("bad"))
-    rules = hits.join(sets, "items").where((F.col("bad") >= min_support) & (F.col("bad") >= F.col("n") * min_confidence))
-    rules = stage(rules.select("items", F.col("n").alias("support"), "bad", (F.col("bad") / F.col("n")).alias("confidence")))
+    baskets = stage(rows.select("id", "bad").join(each.join(kinds, each.token == kinds.item).groupBy("id").agg(F.collect_list("item").alias("items")), "id"))
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support / n_bad * (1 - 1e-9), 1e-12), minConfidence=0.0).fit(baskets.where("bad = 1"))
+    sets = stage(model.freqItemsets.select(F.array_sort("items").alias("whole"), F.col("freq").alias("bad")).where(F.col("freq") >= min_support))
+    rarest = sets.select("whole", F.explode("whole").alias("item")).join(kinds.select("item", "n"), "item").groupBy("whole").agg(F.min(F.struct("n", "item"))["item"].alias("item"))
+    rarest = stage(rarest)
+    side = F.broadcast(rarest) if small_enough(rarest, broadcast_sets) else rarest
+    others = baskets.where("bad = 0").select("items", F.explode("items").alias("item")).join(side, "item").where(F.size(F.array_except("whole", "items")) == 0)
+    good = others.groupBy("whole").agg(F.count("*").alias("good"))
+    support = F.col("bad") + F.coalesce("good", F.lit(0))
+    rules = sets.join(good, "whole", "left").select(F.col("whole").alias("items"), support.alias("support"), "bad", (F.col("bad") / support).alias("confidence"))
+    rules = stage(rules.where(F.col("bad") >= F.col("support") * min_confidence))
     # A part of a rule with one item less, or further down one that itself is pruned, is met by way of its items.
     a, b = rules.select(F.explode("items").alias("i"), F.col("items").alias("whole"), F.col("confidence").alias("c")), rules.select(F.col("items")[0].alias("i"), F.col("items").alias("part"), F.col("confidence").alias("pc"))
     covered = a.join(b, "i").where((F.size("part") < F.size("whole")) & (F.size(F.array_except("part", "whole")) == 0) & (F.col("pc") >= F.col("c"))).select(F.col("whole").alias("items")).distinct()
@@ -105,9 +114,11 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, min_support: int = 5, min
     """``pages`` with whether a rule rejects the URL, the rule's tokens and its confidence.
 
     ``labelled`` has ``url`` and ``bad`` (0 or 1). Of several rules the most
-    confident is named, then the one with most URLs, then the shortest. A null
-    URL is never rejected, equal URLs are treated alike; without labels or
-    rules nothing is rejected. Columns of the result's names are replaced.
+    confident is named, then the one with most URLs, then the shortest, then the
+    first in the order of tokens. A null URL is never rejected, equal URLs are
+    treated alike; without labels or rules nothing is rejected, and a table
+    without pages stays empty. URLs of any length are read whole. Columns of the
+    result's names are replaced.
     """
     hits = match_rules(pages, mine_rules(labelled, min_support, min_confidence), url)
     u, t, c = free_name(pages, "hit_url", "hit_tokens", "hit_confidence")
