@@ -12,7 +12,6 @@ from quillgraph.llm.common import free_name
 from quillgraph.sources.staging import small_enough, stage
 
 
-
 def url_tokens(url: Column) -> Column:
     """Distinct tokens of a URL in order: scheme, parts of the host with its place from the right, path words, query and fragment.
 
