@@ -18,7 +18,6 @@ left as it is, and found with certainty.
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -191,7 +190,7 @@ class Index:
         """(row, item id, edits) of the items in rows of words, with the least number of edits."""
         if not len(hashes):
             return []
-        seen: set[tuple[int, int, int]] = set()
+        found = [np.zeros((3, 0), np.int64)]
         for size, repeat, bits, filled, key, item, offset in self.tables:
             own = kernels.grams(hashes, size) if repeat == SEED else _walk_keys(hashes, size, repeat)
             maybe = np.flatnonzero(_in_bit_set(filled, own, bits))
@@ -209,30 +208,24 @@ class Index:
                 if repeat == SEED:
                     held = self._holds(hashes, row_at[row], row_at[row + 1], who, begin)
                     row, who, begin = row[held], who[held], begin[held]
-                seen.update(zip(row.tolist(), who.tolist(), begin.tolist()))
+                found.append(np.stack([row, who, begin]))
                 done = stop
+        row, who, begin = np.concatenate(found, axis=1)
+        order = np.lexsort((begin, who, row))
+        row, who, begin = row[order], who[order], begin[order]
+        # Candidates of one item that begin within its length of each other are one region.
+        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (who[1:] != who[:-1]) | (begin[1:] - begin[:-1] > self.size[who[1:]])])) if len(row) else order
+        last = begin[np.concatenate([new[1:], [len(row)]]) - 1] if len(row) else order
         best: dict[tuple[int, int], int] = {}
-        # Candidates of one item that begin within its slack are one region.
-        for (row, i), group in itertools.groupby(sorted(seen), key=lambda x: x[:2]):
-            word, low, high = self.words[i], int(row_at[row]), int(row_at[row + 1])
-            slack = int(self.slack[i])
-            begins = [g[2] for g in group]
-            region = [begins[0], begins[0]]
-            regions = [region]
-            for b in begins[1:]:
-                if b - region[1] <= len(word):
-                    region[1] = b
-                else:
-                    region = [b, b]
-                    regions.append(region)
-            for first, last in regions:
-                part = hashes[max(low, first - slack) : min(high, last + len(word) + slack)]
-                # A word that the region lacks is an edit at least.
-                if len(word) - np.isin(word, part).sum() > slack:
-                    continue
-                edits = best_match(word, part)
-                if edits <= slack and edits < best.get((row, i), slack + 1):
-                    best[row, i] = edits
+        for r, i, first, final in zip(row[new].tolist(), who[new].tolist(), begin[new].tolist(), last.tolist()):
+            word, slack = self.words[i], int(self.slack[i])
+            part = hashes[max(int(row_at[r]), first - slack) : min(int(row_at[r + 1]), final + len(word) + slack)]
+            # A word that the region lacks is an edit at least.
+            if len(word) - np.isin(word, part).sum() > slack:
+                continue
+            edits = best_match(word, part)
+            if edits <= slack and edits < best.get((r, i), slack + 1):
+                best[r, i] = edits
         return [(row, self.ids[i], edits) for (row, i), edits in sorted(best.items())]
 
 

@@ -475,7 +475,7 @@ def test_columns_of_joined_names_keep_their_values(spark):
 
 @pytest.mark.parametrize("n", range(1, 11))
 def test_very_long_texts(spark, field, n):
-    """A text of 12 MB in one line, and one of many lines, beside a short one."""
+    """A text of some 7 MB in one line, and one of many lines, beside a short one."""
     rng = random.Random(31)
     piece = prose(rng, 2_000)
     words = " ".join(f"{piece[k:]} w{k}" for k in range(0, 600))
