@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,8 +49,65 @@ def jaro_winkler_of(a: str | None, b: str | None, scale: float = 0.1) -> float |
     return jaro + prefix * scale * (1 - jaro)
 
 
+#: Letters of the longer texts that numpy takes, and cells of a table of letters at a time.
+_LONG, _CELLS = 128, 1 << 21
+
+
+def _letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts, one row each, padded with zeros, and their lengths."""
+    size = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(texts), max(1, int(size.max(initial=0)))), np.uint32)
+    flat = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(texts)), size)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+    return out, size
+
+
+def jaro_winkler_pairs(a: pa.Array, b: pa.Array, scale: float = 0.1) -> np.ndarray:
+    """Jaro-Winkler similarity of many pairs of texts at once, letter by letter of the first."""
+    x, nx = _letters(a)
+    y, ny = _letters(b)
+    n = len(x)
+    reach = np.maximum(0, np.maximum(nx, ny) // 2 - 1)
+    place = np.arange(y.shape[1])[None, :]
+    taken, mine = np.zeros(y.shape, bool), np.zeros(x.shape, bool)
+    for i in range(x.shape[1]):
+        live = np.flatnonzero(nx > i)
+        fits = (y[live] == x[live, i, None]) & ~taken[live] & (np.abs(place - i) <= reach[live, None]) & (place < ny[live, None])
+        hit = fits.any(axis=1)
+        taken[live[hit], fits[hit].argmax(axis=1)] = True
+        mine[live, i] = hit
+    m = mine.sum(axis=1)
+    # Matched letters of both in order, side by side.
+    width = int(m.max(initial=0))
+    p, q = (np.take_along_axis(t, np.argsort(~f, axis=1, kind="stable")[:, :width], axis=1) for t, f in ((x, mine), (y, taken)))
+    swaps = ((p != q) & (np.arange(width)[None, :] < m[:, None])).sum(axis=1) // 2
+    with np.errstate(all="ignore"):
+        jaro = np.where(m > 0, (m / nx + m / ny + (m - swaps) / m) / 3, 0.0)
+    head = min(4, x.shape[1], y.shape[1])
+    alike = (x[:, :head] == y[:, :head]) & (np.arange(head)[None, :] < np.minimum(nx, ny)[:, None])
+    prefix = np.minimum.accumulate(alike, axis=1).sum(axis=1) if n else m
+    same = (nx == ny) & (m == nx) & (swaps == 0) & ((x[:, : min(x.shape[1], y.shape[1])] == y[:, : min(x.shape[1], y.shape[1])]).all(axis=1))
+    return np.where(same, 1.0, np.where(m > 0, jaro + prefix * scale * (1 - jaro), 0.0))
+
+
 def _jaro(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([jaro_winkler_of(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+    both = pc.and_(a.is_valid(), b.is_valid()).to_numpy(zero_copy_only=False)
+    out = np.zeros(len(a))
+    longest = np.maximum(*(pc.utf8_length(t.fill_null("")).to_numpy(zero_copy_only=False) for t in (a, b)))
+    short = np.flatnonzero(both & (longest <= _LONG))
+    order = short[np.argsort(longest[short], kind="stable")]
+    at = 0
+    while at < len(order):
+        # Pairs of about one length at a time, so that little is padded.
+        stop = at + max(1, min(len(order) - at, _CELLS // max(1, int(longest[order[min(len(order) - 1, at + 4095)]]))))
+        stop = min(stop, at + 4096)
+        own = pa.array(order[at:stop])
+        out[order[at:stop]] = jaro_winkler_pairs(a.take(own), b.take(own))
+        at = stop
+    for i in np.flatnonzero(both & (longest > _LONG)).tolist():
+        out[i] = jaro_winkler_of(a[i].as_py(), b[i].as_py())
+    return pa.array(out, pa.float64(), mask=~both)
 
 
 _jaro.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}

@@ -152,6 +152,15 @@ def affiliations(spark: SparkSession, d: str) -> DataFrame:
     return patched.where((F.col("rid") % 4 == 0) & F.map_contains_key("props", F.lit("affiliation"))).select("id", F.col("props")["affiliation"].alias("affiliation"))
 
 
+@query("""WITH v AS (SELECT vec_id // 4 AS grp, vec_id AS id, vec_id % 4 AS at, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.grp, a.at AS i, b.at - 2 AS j, a.id AS gold_id, b.id AS pred_id, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.grp = b.grp AND a.at < 2 AND b.at > 1),
+    t AS (SELECT grp, sum(s) FILTER (i = j) >= sum(s) FILTER (i <> j) AS straight FROM s GROUP BY grp) SELECT grp, gold_id, pred_id, round(s, 6) AS similarity FROM s JOIN t USING (grp) WHERE (i = j) = straight""")
+def assignment_of_two(spark: SparkSession, d: str) -> DataFrame:
+    """The better of the two assignments of two vectors to two others, for groups of four."""
+    v = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    out = ev.assigned(v.where("id % 4 < 2"), v.where("id % 4 > 1"), -2.0)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 @query()
 def greedy_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each vector's first three partners among its nine nearest, in the order of vectors, no pair twice; held against a sequential loop in the tests."""

@@ -3,11 +3,12 @@ from collections import defaultdict
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph import providers
-from quillgraph.functions import answers, dates, text
+from quillgraph.functions import answers, dates, text, vectors
 from quillgraph.operators import entity_dates, evaluation, extraction, triples
 from quillgraph.operators import graph as g
 from quillgraph.operators import resolution as er
@@ -91,6 +92,14 @@ def test_blocks_of_vectors(spark):
     assert er.all_pairs(df, block=16).count() == 70 * 69 // 2 and er.all_pairs(df.limit(0)).count() == 0
 
 
+def test_jaro_winkler_of_many_pairs():
+    rng = random.Random(4)
+    texts = ["", "a", "martha", "marhta", "dixon", "dicksonx", "日本語", "日語本", "x" * 200, "x" * 199 + "y"] + ["".join(rng.choice("abcé") for _ in range(rng.randint(0, 12))) for _ in range(120)]
+    pairs = [(a, b) for a in texts for b in rng.sample(texts, 30)] + [(None, "a"), ("a", None)]
+    got = vectors._jaro(pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs])).to_pylist()
+    assert all(g == pytest.approx(vectors.jaro_winkler_of(a, b), abs=1e-12) if g is not None else a is None or b is None for g, (a, b) in zip(got, pairs))
+
+
 def test_text_moves_in_time(spark):
     d = lambda s: datetime.strptime(s, "%Y-%m-%d")
     move = lambda t, compat=False: spark.createDataFrame([(t,)], "t string").select(dates.moved_text(F.col("t"), d("2010-01-01"), d("2020-01-01"), d("2020-01-01"), d("2030-01-01"), compat)).first()[0]
