@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -90,25 +89,24 @@ def best_assignment(value: np.ndarray) -> list[tuple[int, int]]:
 def assigned(gold: DataFrame, pred: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``(grp, gold_id, pred_id, similarity)`` of the best one-to-one assignment per group, by cosine, at the threshold or above.
 
-    Inputs are ``(grp, id, vec)``. Groups of one side only give nothing.
+    Inputs are ``(grp, id, vec)``, ids not null. Groups of one side only give nothing.
     """
 
     kinds = dict(gold.dtypes)
-    schema = f"grp {kinds['grp']}, gold_id {kinds['id']}, pred_id {dict(pred.dtypes)['id']}, similarity double"
-    out = to_arrow_schema(StructType.fromDDL(schema))
-
-    def solve(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):  # a side without rows has no columns either
-            return out.empty_table()
-        a, b = a.sort_by("id"), b.sort_by("id")
-        x, y = (np.stack([np.asarray(v, float) for v in t.column("vec").to_pylist()]) for t in (a, b))
-        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
-        sim = x @ y.T
-        keep = [(i, j) for i, j in best_assignment(sim) if sim[i, j] >= threshold]
+
+    def solve(t: pa.Table) -> pa.Table:
+        a, b = t.filter(pc.field("pred_id").is_null()).sort_by("gold_id"), t.filter(pc.field("pred_id").is_valid()).sort_by("pred_id")
+        keep: list[tuple[int, int]] = []
+        if len(a) and len(b):
+            x, y = (np.stack([np.asarray(v, float) for v in side.column("vec").to_pylist()]) for side in (a, b))
+            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+            sim = x @ y.T
+            keep = [(i, j) for i, j in best_assignment(sim) if sim[i, j] >= threshold]
         i, j = (pa.array([k[side] for k in keep], pa.int64()) for side in (0, 1))
-        return pa.table({"grp": a.column("grp").take(i), "gold_id": a.column("id").take(i), "pred_id": b.column("id").take(j), "similarity": pa.array([float(sim[k]) for k in keep], pa.float64())})
+        return pa.table({"grp": a.column("grp").take(i), "gold_id": a.column("gold_id").take(i), "pred_id": b.column("pred_id").take(j), "similarity": pa.array([float(sim[k]) for k in keep], pa.float64())})
 
-    return gold.groupBy("grp").cogroup(pred.groupBy("grp")).applyInArrow(solve, schema)
+    both = gold.select("grp", F.col("id").alias("gold_id"), "vec").unionByName(pred.select("grp", F.col("id").alias("pred_id"), "vec"), allowMissingColumns=True)
+    return both.groupBy("grp").applyInArrow(solve, f"grp {kinds['grp']}, gold_id {kinds['id']}, pred_id {dict(pred.dtypes)['id']}, similarity double")
 
 
 def accuracy(answers: DataFrame, kind: str, right: str) -> DataFrame:
