@@ -237,11 +237,13 @@ def stratified_sample(pairs: DataFrame, kind: str, key: list[str], seed: int = 4
     return first.orderBy("late_", "draw_", *key).limit(target).select(*pairs.columns)
 
 
-def registry(mentions: DataFrame, prefixes: dict[str, str]) -> DataFrame:
-    """``(type, key, id)`` of mentions ``(type, key, record, pos)``: ids number the keys of a type from 1 as they first appear."""
+def registry(mentions: DataFrame, prefixes: dict[str, str], taken: DataFrame | None = None) -> DataFrame:
+    """``(type, key, id)`` of mentions ``(type, key, record, pos)``: ids number the keys of a type as they first appear, from 1 or from ``taken(type, n)`` on."""
     first = mentions.groupBy("type", "key").agg(F.min(F.struct("record", "pos")).alias("at"))
     prefix = F.create_map(*[F.lit(x) for kv in prefixes.items() for x in kv])
     ranked = numbered(first, ["at", "key"], "n", ["type"])
+    if taken is not None:
+        ranked = ranked.join(taken.select("type", F.col("n").alias("_before")), "type", "left").withColumn("n", F.col("n") + F.coalesce("_before", F.lit(0)))
     return ranked.select("type", "key", F.concat(F.coalesce(prefix[F.col("type")], F.lower("type")), F.col("n").cast("string")).alias("id"))
 
 

@@ -11,6 +11,7 @@ from quillgraph.functions import answers, dates, text
 from quillgraph.operators import extraction as ex
 from quillgraph.operators import graph as g
 from quillgraph.operators import resolution as er
+from quillgraph.operators.assembly import graph_rows
 from quillgraph.plans.registered import query
 from quillgraph.plans.starschema import ONTOLOGY, edges, nodes, table
 from quillgraph.providers import Replay, judged_answers
@@ -61,6 +62,26 @@ def header_prompts(spark: SparkSession, d: str) -> DataFrame:
     return found.select("record", F.regexp_replace("context", r": \{[^\n]*", "").alias("context"))
 
 
+_TASKS = "t AS (SELECT conv_id % 7 AS task, 't' || row_number() OVER (ORDER BY min(conv_id * 1000 + turn)) AS task_id FROM conversations GROUP BY 1)"
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Messages with recorded answers: each names its sender again, a task, and a relation of the two."""
+    told = F.format_string('{"entities": [{"id": "p1", "type": "Person", "properties": {"personEmail": "%s@X.org"}}, {"id": "x", "type": "Task", "properties": {"taskName": "task %d"}}], "relations": [{"start": "p1", "end": "x", "type": "worksOn"}, {"start": "p1", "end": "nobody", "type": "worksOn"}]', "role", F.col("conv_id") % 7)
+    return graph_rows(_mails(spark, d), Replay(table(spark, d, "conversations").select(F.expr(_RECORD).alias("key"), told.alias("answer"))), "Extract.")
+
+
+@query(f"WITH {_MENTIONS}, {_TASKS} SELECT i.id AS start_id, task_id AS end_id, 'worksOn' AS relation, '' AS context, s.id AS source FROM c JOIN t ON t.task = c.conv_id % 7 JOIN i ON i.type = 'Person' AND i.name = role || '@x.org' JOIN i s ON s.type = 'Email' AND s.name = 'MAIL-' || conv_id || 'X' || turn")
+def corpus_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Relations that answers state, from messages to the graph."""
+    return _graph(spark, d)[1].where("source <> 'header'")
+
+
+@query(f"WITH {_MENTIONS}, {_TASKS} SELECT id, type FROM i UNION ALL SELECT task_id, 'Task' FROM t")
+def corpus_entities(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(spark, d)[0].select("id", "type")
+
+
 @query("""WITH r AS (SELECT o_orderkey AS record, 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders), k AS (SELECT 'c' || o_custkey AS id, min(o_orderkey) + o_custkey % 2 AS first FROM orders GROUP BY o_custkey)
     SELECT record, b AS start_id, a AS end_id, 'placedBy' AS relation, '' AS context FROM r JOIN k ON k.id = r.a WHERE first <= record""")
 def temp_ids(spark: SparkSession, d: str) -> DataFrame:
