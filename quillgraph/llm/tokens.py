@@ -355,13 +355,23 @@ def _automaton(vocabulary: str) -> Transducer:
     return Transducer(read_ranks(vocabulary))
 
 
+#: Texts of more characters aren't taken to compile states from; all are counted whole.
+_WARM_CHARS = 16_384
+
+
 def warmed(docs: DataFrame, vocabulary: str, text: str, rows: int, limit: int) -> Transducer:
-    """A transducer with the states that up to ``rows`` rows and ``limit`` bytes of text need; all others are compiled where they are met."""
+    """A transducer with the states that up to ``rows`` rows and some ``limit`` bytes of text need; all others are compiled where they are met.
+
+    The rows are the first that a few partitions give, collected as a limit at the
+    root of a plan is: partition after partition until there are enough.
+    """
     machine = _automaton(vocabulary)
+    some = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= _WARM_CHARS)).limit(rows).collect()
     left = limit
-    for batch in docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= limit)).limit(rows).toArrow().to_batches(max_chunksize=64):
+    for at in range(0, len(some), 64):
+        batch = pa.array([r["t"] for r in some[at : at + 64]], pa.string())
         if left > 0:
-            machine.counts(batch.column(0))
+            machine.counts(batch)
             left -= batch.nbytes
     machine.keep()
     return machine
