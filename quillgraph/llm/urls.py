@@ -74,7 +74,9 @@ def mine_rules(labelled: DataFrame, min_support: int = 5, min_confidence: float
     rarest = sets.select("whole", F.explode("whole").alias("item")).join(kinds.select("item", "n"), "item").groupBy("whole").agg(F.min(F.struct("n", "item"))["item"].alias("item"))
     rarest = stage(rarest)
     side = F.broadcast(rarest) if small_enough(rarest, broadcast_sets) else rarest
-    others = baskets.where("bad = 0").select("items", F.explode("items").alias("item")).join(side, "item").where(F.size(F.array_except("whole", "items")) == 0)
+    # Small rows, much work each: so many tasks, however few bytes there are.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    others = baskets.where("bad = 0").repartition(tasks, "id").select("items", F.explode("items").alias("item")).join(side, "item").where(F.size(F.array_except("whole", "items")) == 0)
     good = others.groupBy("whole").agg(F.count("*").alias("good"))
     support = F.col("bad") + F.coalesce("good", F.lit(0))
     rules = sets.join(good, "whole", "left").select(F.col("whole").alias("items"), support.alias("support"), "bad", (F.col("bad") / support).alias("confidence"))
