@@ -78,5 +78,9 @@ def drop_staged(since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` (best a staged table) has at most ``rows`` rows."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` (best a staged table) has at most ``rows`` rows.
+
+    A count reads no columns and adds up per task; a limit would send up to
+    ``rows`` rows of every partition to one task.
+    """
+    return df.count() <= rows
