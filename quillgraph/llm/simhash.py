@@ -1,22 +1,23 @@
 """Operator 2: SimHash near-duplicates by the generalised pigeonhole principle.
 
 A fingerprint of ``BITS`` bits is cut into parts of correlated bits. Part i gets
-a radius r_i >= -1 (-1: never probed); if the parts' ``r_i + 1`` sum to
-``B``, any two fingerprints that differ in fewer than ``B`` bits agree to within
-the radius in at least one part, and most that differ in more do as well. The
+a radius r_i >= -1 (-1: never probed). The parts' ``r_i + 1`` sum to
+``MAX_DISTANCE + 1``, so any two fingerprints that differ in at most MAX_DISTANCE
+bits agree to within the radius in at least one part: no pair is left out. The
 number of parts and the radii are chosen by dynamic programming on the number of
 candidate pairs that they would give, estimated from the value counts of all
 fingerprints.
 
-A fingerprint probes a part by its value and, for a radius of 1 or 2, by all
-values that differ from it in one bit. Only the first few bits of a value say to
-which task it goes, so a turn of any other bit meets in the same task and is made
-there: what is shuffled grows by the turns of those few bits, not by all. A pair
-that meets is verified on all bits at once, as rows carry whole fingerprints.
+Only the first few bits of a value say to which task it goes, with as many of them
+turned as the radius allows. All values in a task that agree to within the radius
+are found there, by looking up the values around each: what is shuffled grows by
+the turns of those few bits, not by all. A pair that meets is verified on all bits
+at once, as rows carry whole fingerprints.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -35,12 +36,14 @@ LONGS = 4
 BITS = 64 * LONGS
 #: Two documents whose fingerprints differ in at most so many bits are near-duplicates.
 MAX_DISTANCE = 40
-#: Least share of pairs at MAX_DISTANCE that the probes must find, as modelled; of nearer pairs they find more.
-RECALL = 0.9
 #: First bits of a part that choose the task of a probe, and rows of one bucket beyond which more bits choose.
-TOP, BUCKET_ROWS = 6, 1 << 20
-#: What a row that is shuffled and one that is made in its task cost, in pairs compared.
-SHIPPED, MADE = 15, 2
+TOP, BUCKET_ROWS = 6, 1 << 21
+#: What a row that is shuffled and a value that is looked up cost, in pairs compared.
+SHIPPED, LOOKUP = 15, 0.1
+#: Greatest radius of a part: the values around one are listed.
+MOST = 5
+#: Pairs compared and values looked up at once.
+PAIRS_AT_ONCE, VALUES_AT_ONCE = 1 << 18, 1 << 17
 FP = [f"f{i}" for i in range(LONGS)]
 
 _LANES = np.array([sum(((i >> k) & 1) << (8 * k) for k in range(8)) for i in range(256)], np.uint64)
@@ -139,53 +142,59 @@ def _ordered(columns: list[np.ndarray], order: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(np.take(_bits(columns), order, axis=1), axis=1, bitorder="little"))
 
 
-def plan_radii(counts: np.ndarray, n: int, recall: float = RECALL, design: int = MAX_DISTANCE) -> tuple[int, list[int]]:
-    """(blocks per part, radius of each part) of least estimated cost.
+def plan_radii(counts: np.ndarray, n: int, reach: int = MAX_DISTANCE) -> tuple[int, list[int]]:
+    """(blocks per part, radius of each part) of least estimated cost that find every pair within ``reach`` bits.
 
-    ``counts`` holds how often each block has each value. From them follows how
-    many pairs differ in d bits of a block, exactly, and for a part by
-    convolution of its blocks. The cost of a radius is the rows that it ships,
-    those that its tasks make of them, and the pairs that agree to within it.
-    best[b] is the least cost of radii with sum of (r + 1) = b; the least b is
-    taken whose radii find the share ``recall`` of pairs that differ in
-    ``design`` random bits. Long parts may find too few at any radius; they lose
-    against parts that find the share.
+    Radii of parts with sum of (r + 1) = ``reach`` + 1 leave no pair out: if each
+    part differed in r + 1 bits or more, the pair would differ in more than
+    ``reach``. ``counts`` holds how often each block has each value. From them
+    follows how many pairs differ in d bits of a block, exactly, and for a part by
+    convolution of its blocks. The cost of a radius is the rows that it ships, the
+    values that its tasks look up, and the pairs that agree to within it. best[b]
+    is the least cost of radii with sum of (r + 1) = b.
     """
     apart = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None, :])
     share = np.stack([np.bincount(apart.ravel(), np.outer(c, c).ravel(), 9) for c in counts.reshape(BLOCKS, 256).astype(np.float64)]) / max(n, 1) ** 2
-    best: tuple[tuple[float, float], int, list[int]] | None = None
+    best: tuple[float, int, list[int]] | None = None
     for width in (2, 3, 4):
-        parts = [range(at, min(at + width, BLOCKS)) for at in range(0, BLOCKS, width)]
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-        found = []
-        for part in parts:
-            bits = 8 * len(part)
-            dist = np.ones(1)
+        for at in range(0, BLOCKS, width):
+            part = range(at, min(at + width, BLOCKS))
+            bits, dist = 8 * len(part), np.ones(1)
             for b in part:
                 dist = np.convolve(dist, share[b])
-            flips, prob = np.zeros(bits + 1), design / BITS
-            for d in range(bits + 1):
-                flips[d] = math.comb(bits, d) * prob**d * (1 - prob) ** (bits - d)
-            found.append([0.0, *np.cumsum(flips)[:3]])
-            rows = (SHIPPED + MADE, SHIPPED * (1 + TOP / 2) + MADE * (1 + bits / 2), SHIPPED * (1 + TOP) + MADE * (1 + bits))
-            cost = [0.0] + [n * rows[r] + 0.5 * n * n * dist[: r + 1].sum() for r in (0, 1, 2)]
+            cost = [0.0]
+            for r in range(MOST + 1):
+                ship = sum(math.comb(TOP, k) / 2**k for k in range(min(r, TOP) + 1))
+                cost.append(n * SHIPPED * ship + min(n, 1 << bits) * LOOKUP * _ball(bits, r) / 2 + 0.5 * n * n * dist[: r + 1].sum())
             step: dict[int, tuple[float, list[int]]] = {}
             for have, (paid, radii) in table.items():
-                for r in (-1, 0, 1, 2):
+                for r in range(-1, MOST + 1):
                     b, total = have + r + 1, paid + cost[r + 1]
-                    if b not in step or total < step[b][0]:
+                    if b <= reach + 1 and (b not in step or total < step[b][0]):
                         step[b] = (total, [*radii, r])
             table = step
-        for b in sorted(table):
-            missed = np.prod([1 - found[i][r + 1] for i, r in enumerate(table[b][1])])
-            if 1 - missed >= recall or b == max(table):
-                rank = (max(0.0, recall - (1 - missed)), table[b][0])
-                if best is None or rank < best[0]:
-                    best = (rank, width, table[b][1])
-                break
+        if best is None or table[reach + 1][0] < best[0]:
+            best = (table[reach + 1][0], width, table[reach + 1][1])
     return best[1], best[2]
 
 
+def _ball(bits: int, r: int) -> int:
+    return sum(math.comb(bits, k) for k in range(r + 1))
+
+
+@functools.lru_cache(64)
+def _masks(bits: int, r: int) -> np.ndarray:
+    """All values of ``bits`` bits with at most ``r`` of them set, ascending."""
+    out = [np.zeros(1, np.int64)]
+    last = {0: out[0]}
+    for b in range(bits):
+        # Those whose highest bit is b.
+        new = {k + 1: v | (1 << b) for k, v in last.items() if k < r}
+        last = {k: np.concatenate([x[k] for x in (last, new) if k in x]) for k in last.keys() | new.keys()}
+    return np.sort(np.concatenate(list(last.values())))
+
+
 class Probes:
     """Which bits make the parts, how far each is probed, and which first bits of a part choose the task."""
 
@@ -213,29 +222,36 @@ class Probes:
 
     def split(self, counts: np.ndarray, limit: int) -> None:
         """Lets more bits choose where more than ``limit`` rows would meet."""
-        counts = counts.reshape(self.more.shape)
-        rows = counts + sum(counts[:, np.arange(1 << self.top) ^ (1 << b)] for b in range(self.top))
-        bits = np.ceil(np.log2(np.maximum(rows / limit, 1))).astype(np.int64)
-        self.more = np.minimum(np.where(bits > 0, bits + 2, 0), np.array(self.bits)[:, None] - self.top)
+        counts, code = counts.reshape(self.more.shape), np.arange(1 << self.top)
+        for part, r in enumerate(self.radii):
+            # Rows of a bucket by how many more of their bits may be turned.
+            rows = np.zeros((r + 1, len(code)))
+            for turned in code[np.bitwise_count(code) <= r]:
+                at = code[code & turned == 0]
+                rows[r - turned.bit_count(), at] += counts[part, at | turned]
+            self.more[part] = self.bits[part] - self.top
+            for more in range(self.bits[part] - self.top, -1, -1):
+                # In the fullest of the buckets that it becomes.
+                fullest = sum((rows[left] * _ball(more, left) / 2**more for left in range(r + 1)), np.zeros(len(code)))
+                self.more[part, fullest <= limit] = more
 
     def buckets(self, value: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
-        """(fingerprint, bucket) of all probes of a part: part, first bits, and more of them in full buckets."""
-        r, top = self.radii[part], self.top
-        who, base, free = [np.arange(len(value))], [value & ((1 << top) - 1)], [np.ones(len(value), bool)]
-        for b in range(top if r > 0 else 0):
-            turned = np.flatnonzero((value >> b) & 1) if r == 1 else who[0]
-            who.append(turned)
-            base.append(base[0][turned] ^ (1 << b))
-            free.append(np.zeros(len(turned), bool))
-        at, first, free = np.concatenate(who), np.concatenate(base), np.concatenate(free)
+        """(fingerprint, bucket) of all probes of a part: part, first bits, and more of them in full buckets.
+
+        Two values meet where the first bits are those that both have set, so each
+        goes wherever up to as many of its set bits as the radius are turned.
+        """
+        top = self.top
+        who, first, left = np.arange(len(value)), value & ((1 << top) - 1), np.full(len(value), self.radii[part])
+        for b in range(top):
+            on = np.flatnonzero(((first >> b) & 1 == 1) & (left > 0))
+            who, first, left = np.concatenate([who, who[on]]), np.concatenate([first, first[on] ^ (1 << b)]), np.concatenate([left, left[on] - 1])
         more = self.more[part][first]
-        rest = (value[at] >> top) & ((1 << more) - 1)
-        out = [((np.int64(part) << top | first) << 28) | rest]
-        for b in range(int(more.max(initial=0)) if r > 0 else 0):
-            turned = free & (more > b) & (((rest >> b) & 1 == 1) | (r == 2))
-            at = np.concatenate([at, at[: len(free)][turned]])
-            out.append(out[0][turned] ^ (1 << b))
-        return at, np.concatenate(out)
+        bucket = ((np.int64(part) << top | first) << 28) | ((value[who] >> top) & ((1 << more) - 1))
+        for b in range(int(more.max(initial=0))):
+            on = np.flatnonzero((more > b) & ((bucket >> b) & 1 == 1) & (left > 0))
+            who, bucket, left, more = np.concatenate([who, who[on]]), np.concatenate([bucket, bucket[on] ^ (1 << b)]), np.concatenate([left, left[on] - 1]), np.concatenate([more, more[on]])
+        return who, bucket
 
     def ship(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Arrow function: (id, f0..) to one row (bucket, id, f0..) per probe, with fingerprints in the order of parts."""
@@ -268,39 +284,38 @@ class Probes:
         kernels.release()
 
     def linked(self, bucket: int, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Edges between the rows of a bucket that join all pairs that it finds and that are near."""
+        """Edges that join all near pairs of a bucket that agree to within the radius.
+
+        A pair meets in several buckets of a part; it is compared where no bit that
+        chose the bucket is turned in both.
+        """
         part, first = bucket >> (28 + self.top), (bucket >> 28) & ((1 << self.top) - 1)
-        r, bits, have = self.radii[part], self.bits[part], self.top + int(self.more[part][first])
+        r, have = self.radii[part], self.top + int(self.more[part][first])
+        rest = self.bits[part] - have
         value = self.value(fp.view(np.uint8).reshape(len(fp), -1), part)
-        chosen = first | (bucket & ((1 << 28) - 1)) << self.top
-        used = (value & ((1 << have) - 1)) != chosen
-        # Keys as rows meet: the value, or with one bit turned; the low six bits say which (63: one of the first).
-        key = (value >> have) << 6
-        if r == 0:
-            return _near(key, np.arange(len(key)), fp, r)
-        free = np.flatnonzero(~used)
-        rest = bits - have
-        # Values of the next bits one after the other, so that few rows are made at a time.
-        step = min(rest, max(0, int(math.ceil(math.log2(max(1, len(free) * (rest + 1) / (1 << 21)))))))
-        out_a, out_b = [], []
-        for low in range(1 << step):
-            mask = ((1 << step) - 1) << 6
-            here = np.flatnonzero(key & mask == low << 6)
-            who, keys = [here], [np.where(used[here], key[here] | 63, key[here])]
-            for b in range(rest):
-                if b < step:
-                    turned = free[(key[free] & mask) == (low ^ (1 << b)) << 6]
-                else:
-                    turned = here[~used[here]]
-                if r == 1:
-                    turned = turned[(key[turned] >> (6 + b)) & 1 == 1]
-                who.append(turned)
-                keys.append(key[turned] ^ (1 << (6 + b)) | (b + 1))
-            a, b = _near(np.concatenate(keys), np.concatenate(who), fp, r)
-            out_a.append(a)
-            out_b.append(b)
-        both = kernels.distinct((np.concatenate(out_a).astype(np.uint64) << np.uint64(32)) | np.concatenate(out_b).astype(np.uint64))
-        return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        turned = (value & ((1 << have) - 1)) ^ (first | (bucket & ((1 << 28) - 1)) << self.top)
+        key = turned << rest | value >> have
+        order = np.argsort(key)
+        key, rows = key[order], [fp[order, k] for k in range(LONGS)]
+        start, size = _bounds(key)
+        cell, groups = key[start] & ((1 << rest) - 1), key[start] >> rest
+        at, many = _bounds(groups)
+        sets = groups[at]
+        forest = Forest(len(key))
+        used = np.bitwise_count(sets)[:, None] + np.bitwise_count(sets)[None, :]
+        for x, y in zip(*np.nonzero(np.triu((sets[:, None] & sets[None, :] == 0) & (used <= r)))):
+            one, two = slice(at[x], at[x] + many[x]), slice(at[y], at[y] + many[y])
+            if x == y:  # rows of one value
+                row = np.arange(start[one][0], start[one][-1] + size[one][-1])
+                _compare(rows, row, row + 1, np.repeat(start[one] + size[one], size[one]), forest)
+            elif many[x] > many[y]:
+                one, two = two, one
+            for a, b in _near_values(cell[one], cell[two], rest, r - int(used[x, y]), x == y):
+                row = np.repeat(start[one][a], size[one][a]) + _inner(size[one][a])
+                low, high = start[two][b], start[two][b] + size[two][b]
+                _compare(rows, row, np.repeat(low, size[one][a]), np.repeat(high, size[one][a]), forest)
+        a, b = forest.edges()
+        return order[a], order[b]
 
 
 def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,67 +324,115 @@ def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate([start, [len(key)]]))
 
 
-#: Rows that share a key and are compared pair by pair at once; more are searched.
-_FEW = 48
-
-
-def _near(key: np.ndarray, who: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between rows of equal keys (but for the low six bits) within MAX_DISTANCE."""
-    order = np.argsort(key)
-    key, who = key[order], who[order]
-    start, size = _bounds(key >> 6)
-    many = size > 1
-    if radius:
-        # Equal values meet under the value itself; elsewhere two values must meet. Of the first bits several may be turned.
-        last = key[start + size - 1] & 63
-        many &= (last != key[start] & 63) | (last == 0) | (last == 63)
-    if radius == 1:  # one side is unturned
-        many &= key[start] & 63 == 0
-    start, size = start[many], size[many]
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for n in np.unique(size[size <= _FEW]):
-        at = start[size == n]
-        for d in range(1, int(n)):
-            left = (at[:, None] + np.arange(n - d)).ravel()
-            a, b = who[left], who[left + d]
-            half = np.bitwise_count(fp[a, 0] ^ fp[b, 0]) + np.bitwise_count(fp[a, 1] ^ fp[b, 1])
-            maybe = np.flatnonzero(half <= MAX_DISTANCE)
-            a, b, half = a[maybe], b[maybe], half[maybe]
-            hit = half + np.bitwise_count(fp[a, 2] ^ fp[b, 2]) + np.bitwise_count(fp[a, 3] ^ fp[b, 3]) <= MAX_DISTANCE
-            out_a.append(np.minimum(a[hit], b[hit]))
-            out_b.append(np.maximum(a[hit], b[hit]))
-    for s, n in zip(start[size > _FEW], size[size > _FEW]):
-        own, turn = who[s : s + n], key[s : s + n] & 63
-        values, counts = np.unique(turn, return_counts=True)
-        others = np.flatnonzero(turn != values[counts.argmax()])
-        if radius and 0 < len(others) <= 8:
-            # Rows with one turn met under their own value as well, so only those with another are compared here.
-            edges = [(own[k], own[x]) for k in others for x in np.flatnonzero(np.bitwise_count(fp[own] ^ fp[own[k]]).sum(axis=1) <= MAX_DISTANCE) if x != k]
-        else:
-            edges = spanning_edges(own, fp[own], MAX_DISTANCE)
-        if edges:
-            out_a.append(np.array([min(e) for e in edges], np.int64))
-            out_b.append(np.array([max(e) for e in edges], np.int64))
-    return np.concatenate(out_a), np.concatenate(out_b)
-
-
-def spanning_edges(ids: np.ndarray, fp: np.ndarray, reach: int) -> list[tuple[int, int]]:
-    """Edges that join all fingerprints linked by steps of at most ``reach`` bits, found by breadth-first search.
-
-    Every fingerprint is compared with all not yet reached, so a dense group of
-    g costs little more than g comparisons.
+def _inner(size: np.ndarray) -> np.ndarray:
+    """0, 1, .. up to each size, one run after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _near_values(one: np.ndarray, two: np.ndarray, bits: int, r: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in one, in two) of all values at most ``r`` bits apart; if both are the ``same``, each two different values once.
+
+    Both are ascending and distinct. The values around each are looked up, or all
+    are compared where these are fewer.
     """
-    left = np.arange(len(ids))
-    edges = []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            hit = np.bitwise_count(fp[left] ^ fp[at]).sum(axis=1) <= reach
-            reached, left = left[hit], left[~hit]
-            edges += [(ids[at], ids[x]) for x in reached]
-            queue.extend(reached)
-    return edges
+    masks = _masks(bits, r)
+    if len(two) <= len(masks):
+        rows = max(1, VALUES_AT_ONCE // len(two))
+        for at in range(0, len(one), rows):
+            a, b = np.nonzero(np.bitwise_count(one[at : at + rows, None] ^ two[None, :]) <= r)
+            if same:
+                a, b = a[b > a + at], b[b > a + at]
+            yield a + at, b
+        return
+    fold = min(bits, 20)
+    held = np.zeros(1 << fold, bool)
+    held[(two ^ (two >> fold)) & ((1 << fold) - 1)] = True
+    # Of two different values, that without the highest bit that differs looks the other up.
+    for h in range(bits) if same else (None,):
+        who = np.arange(len(one)) if h is None else np.flatnonzero((one >> h) & 1 == 0)
+        some = masks if h is None else masks[np.searchsorted(masks, 1 << h) : np.searchsorted(masks, 2 << h)]
+        for left in range(0, len(who), VALUES_AT_ONCE):
+            mine = who[left : left + VALUES_AT_ONCE]
+            step = max(1, VALUES_AT_ONCE // len(mine))
+            for low in range(0, len(some), step):
+                sought = one[mine][:, None] ^ some[None, low : low + step]
+                hit = np.flatnonzero(held[sought if bits <= fold else (sought ^ (sought >> fold)) & ((1 << fold) - 1)])
+                value = sought.ravel()[hit]
+                b = np.searchsorted(two, value)
+                ok = two[np.minimum(b, len(two) - 1)] == value
+                yield mine[hit[ok] // sought.shape[1]], b[ok]
+
+
+def _compare(fp: list[np.ndarray], row: np.ndarray, low: np.ndarray, high: np.ndarray, forest: Forest) -> None:
+    """Adds the near pairs of each row with those from ``low`` up to ``high``."""
+    some = high > low
+    row, low, high = row[some], low[some], high[some]
+    total = np.concatenate([[0], np.cumsum(high - low)])
+    at, due, many = 0, 0, total[-1] > len(forest.root)
+    while at < len(row):
+        if many and total[at] >= due:
+            # Rows that are joined already need not be compared, so that a group of many copies takes little time.
+            root = forest.roots()
+            change = np.cumsum(np.concatenate([[0], root[1:] != root[:-1]]))
+            left = at + np.flatnonzero((change[low[at:]] != change[high[at:] - 1]) | (root[low[at:]] != root[row[at:]]))
+            row, low, high = row[left], low[left], high[left]
+            total = np.concatenate([[0], np.cumsum(high - low)])
+            at, due = 0, max(len(root), PAIRS_AT_ONCE)
+            continue
+        stop = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS_AT_ONCE, "right")) - 1)
+        n = (high - low)[at:stop]
+        a, b = np.repeat(row[at:stop], n), np.arange(total[at], total[stop]) + np.repeat(low[at:stop] - total[at:stop], n)
+        if many:
+            left = np.flatnonzero(root.take(a) != root.take(b))
+            a, b = a[left], b[left]
+        apart = np.bitwise_count(fp[0].take(a) ^ fp[0].take(b))
+        for k in range(1, LONGS):
+            apart = apart + np.bitwise_count(fp[k].take(a) ^ fp[k].take(b))
+            near = np.flatnonzero(apart <= MAX_DISTANCE)
+            a, b, apart = a[near], b[near], apart[near]
+        forest.add(a, b)
+        at = stop
+
+
+class Forest:
+    """Edges that join what all pairs added so far join, fewer than there are rows."""
+
+    def __init__(self, n: int):
+        self.root, self.kept, self.new, self.waiting = np.arange(n), [], [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.new.append((a, b))
+            self.waiting += len(a)
+            if self.waiting > PAIRS_AT_ONCE:
+                self.roots()
+
+    def roots(self) -> np.ndarray:
+        """Of each row the same for all that are joined."""
+        if not self.new:
+            return self.root
+        a, b = (np.concatenate(x) for x in zip(*self.new))
+        self.new, self.waiting = [], 0
+        while True:
+            x, y = self.root[a], self.root[b]
+            apart = np.flatnonzero(x != y)
+            if not len(apart):
+                return self.root
+            a, b = a[apart], b[apart]
+            low, high = np.minimum(x[apart], y[apart]), np.maximum(x[apart], y[apart])
+            # Each root takes one lesser root as its own, so there is no cycle.
+            high, edge = np.unique(high, return_index=True)
+            self.kept.append((a[edge], b[edge]))
+            self.root[high] = low[edge]
+            while (up := self.root[self.root] != self.root).any():
+                self.root[up] = self.root[self.root[up]]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        self.roots()
+        if not self.kept:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = (np.concatenate(x) for x in zip(*self.kept))
+        return a, b
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -377,7 +440,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
 
     Documents linked by a chain of steps of at most MAX_DISTANCE bits form a
     group, in which the least ``doc_id`` is kept; keys keep their type and order.
-    Every document is a query; a pair is verified on all bits. Texts without a
+    Every document is a query; no pair within MAX_DISTANCE is left out, and each is
+    verified on all bits. Texts without a
     word (null, empty, only punctuation) and rows with a null key are compared
     with nothing. Rows with one key are one document: none of them is named as
     another's copy, and if their texts differ all their groups are joined. An

@@ -525,6 +525,60 @@ def test_simhash_finds_planted_pairs_with_the_plan_of_a_large_corpus(planned):
     assert met <= {(a, b) for _, a, b in pairs}
 
 
+@pytest.mark.parametrize("n", [0, 1, 1_000, 200_000, 15_000_000, 200_000_000])
+def test_simhash_plan_leaves_no_pair_out(n):
+    for counts in (np.full(256 * simhash.BLOCKS, n // 256), np.tile(np.bincount([7], minlength=256) * n, simhash.BLOCKS)):
+        width, radii = simhash.plan_radii(counts, n)
+        assert len(radii) == -(-simhash.BLOCKS // width) and sum(r + 1 for r in radii) > simhash.MAX_DISTANCE
+
+
+def met_and_near(bits, width, radii, split):
+    """Groups by the edges that probes find, and by all pairs."""
+    probes = simhash.Probes(np.random.default_rng(5).permutation(simhash.BITS), width, radii)
+    probes.more[:, ::3] = split
+    packed = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(packed))), *[pa.array(packed[:, k].view(np.int64)) for k in range(simhash.LONGS)]], ["id", *simhash.FP])
+    met = [e for out in probes.meet(probes.ship([batch])) for e in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    apart = np.stack([np.bitwise_count(packed ^ row).sum(axis=1, dtype=np.int64) for row in packed])
+    near = [(int(a), int(b)) for a, b in zip(*np.nonzero(apart <= simhash.MAX_DISTANCE)) if a < b]
+    assert all(apart[a, b] <= simhash.MAX_DISTANCE for a, b in met)
+    return groups_of(met, range(len(packed))), groups_of(near, range(len(packed)))
+
+
+@pytest.mark.parametrize("planned", [1_000, 1_000_000, 15_000_000, 200_000_000])
+@pytest.mark.parametrize("split", [0, 2])
+def test_simhash_finds_every_pair(planned, split):
+    rng = np.random.default_rng(9)
+    bits = np.repeat(rng.integers(0, 2, (400, simhash.BITS), dtype=np.uint8), 2, axis=0)
+    for i in range(400):
+        bits[2 * i + 1, rng.choice(simhash.BITS, 38 + i % 4, replace=False)] ^= 1  # 38 to 41 bits
+    got, want = met_and_near(bits, *simhash.plan_radii(np.full(256 * simhash.BLOCKS, planned // 256), planned), split)
+    assert got == want and len(set(want.values())) == 500
+
+
+@pytest.mark.parametrize("width, radii", [(2, [2] * 9 + [1] * 7), (3, [3] * 10 + [0]), (4, [4] * 7 + [5])])
+def test_simhash_finds_pairs_among_many_of_one_value(width, radii):
+    """Only the parts of the first 128 bits are near, with one value in most rows and another in a few."""
+    rng = np.random.default_rng(10)
+    bits = np.zeros((600, simhash.BITS), np.uint8)
+    order = np.random.default_rng(5).permutation(simhash.BITS)
+    bits[:, order[128:]] = np.repeat(rng.integers(0, 2, (300, 128), dtype=np.uint8), 2, axis=0)
+    for i in range(300):
+        bits[2 * i + 1, order[128 + rng.choice(128, 40 - i % 2, replace=False)]] ^= 1
+    bits[:6, order[3]] ^= 1
+    got, want = met_and_near(bits, width, radii, 0)
+    assert got == want and 250 < len(set(want.values())) <= 300
+
+
+def test_simhash_joins_many_copies_of_one_text():
+    rng = np.random.default_rng(11)
+    bits = np.tile(rng.integers(0, 2, simhash.BITS, dtype=np.uint8), (3000, 1))
+    bits[np.arange(3000)[:, None], np.argsort(rng.random((3000, simhash.BITS)), axis=1)[:, :10]] ^= 1
+    bits[2000:] = rng.integers(0, 2, (1000, simhash.BITS), dtype=np.uint8)
+    got, want = met_and_near(bits, *simhash.plan_radii(np.full(256 * simhash.BLOCKS, 12), 3000), 0)
+    assert got == want and len(set(want.values())) == 1001
+
+
 def test_simhash_in_split_buckets(spark, docs):
     rows = docs.where("text is not null").select("doc_id", "text")
     one, two = (sorted(map(tuple, simhash.near_duplicates(rows, bucket_rows=k).collect())) for k in (1 << 20, 8))
