@@ -160,6 +160,38 @@ def overlapping_names(a: DataFrame, b: DataFrame, small: int = 10_000) -> DataFr
     return keyed.where(exact).select("id1", "id2").distinct()
 
 
+def _parts_within(name: Column, lengths: Column) -> Column:
+    """All that stands within a name and has one of ``lengths``, once each."""
+    of = lambda k: F.when(k <= F.length(name), F.transform(F.sequence(F.lit(1), F.length(name) - k + 1), lambda i: F.substring(name, i, k)))
+    return F.array_distinct(F.flatten(F.filter(F.transform(lengths, of), lambda x: x.isNotNull())))
+
+
+def first_overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(name, first)``: of each name of ``a(name)`` the least ``first`` of ``b(name, first)`` whose name overlaps (:func:`names_overlap`).
+
+    Names count in lower case without blanks around them. Pairs aren't listed:
+    the least is sought for each distinct name, word and part of a name, then for
+    the names that have it, so that the work grows with the names and not with
+    their overlaps. Only parts as long as a name of the other side are cut out.
+    """
+    low = F.lower(F.trim("name")).alias("n")
+    x = stage(a.select("name", low).where("n <> ''").distinct())
+    y = stage(b.select(low, "first").where("length(n) >= 4").groupBy("n").agg(F.min("first").alias("first")))
+    names = x.select("n").distinct()
+
+    def lengths(of: DataFrame) -> DataFrame:
+        return F.broadcast(of.agg(F.coalesce(F.collect_set(F.length("n")), F.array().cast("array<int>")).alias("lengths")))
+
+    def least(keyed: DataFrame) -> DataFrame:
+        return keyed.groupBy("k").agg(F.min("first").alias("first"))
+
+    word = names.select("n", F.explode(F.array_distinct(name_words(F.col("n")))).alias("k")).join(least(y.select(F.explode(F.array_distinct(name_words(F.col("n")))).alias("k"), "first")), "k")
+    within = names.crossJoin(lengths(y)).select("n", F.explode(_parts_within(F.col("n"), F.col("lengths"))).alias("k")).join(y.withColumnRenamed("n", "k"), "k")
+    around = names.withColumn("k", F.col("n")).join(least(y.crossJoin(lengths(names)).select(F.explode(_parts_within(F.col("n"), F.col("lengths"))).alias("k"), "first")), "k")
+    best = word.select("n", "first").unionByName(within.select("n", "first")).unionByName(around.select("n", "first")).groupBy("n").agg(F.min("first").alias("first"))
+    return x.join(best, "n").select("name", "first")
+
+
 def patch_affiliations(people: DataFrame) -> DataFrame:
     """``(id, affiliation)`` for ``people(id, rid, props)`` with an address but no affiliation.
 
@@ -168,9 +200,11 @@ def patch_affiliations(people: DataFrame) -> DataFrame:
     has = lambda k: F.coalesce(F.col("props")[k], F.lit("")) != ""
     name = F.coalesce(F.col("props")["personName"], F.lit("")).alias("name")
     mailed = people.where(has("personEmail") & ~has("affiliation")).select("id", name)
-    giving = people.where(has("affiliation") & ~has("personEmail")).select("id", "rid", name, F.col("props")["affiliation"].alias("affiliation"))
-    met = overlapping_names(mailed, giving).join(giving.select(F.col("id").alias("id2"), "rid", "affiliation"), "id2")
-    return met.groupBy(F.col("id1").alias("id")).agg(F.min_by("affiliation", F.struct("rid", "id2")).alias("affiliation"))
+    giving = people.where(has("affiliation") & ~has("personEmail")).select(name, F.struct("rid", "id", F.col("props")["affiliation"].alias("affiliation")).alias("first"))
+    met = first_overlapping(mailed.select("name").distinct(), giving)
+    # Many people may share a name; a small table of names is sent to them, so that none of its rows are gathered in one task.
+    side = stage(met)
+    return mailed.join(F.broadcast(side) if small_enough(side, 100_000) else side, "name").groupBy("id").agg(F.min("first").alias("first")).select("id", F.col("first.affiliation").alias("affiliation"))
 
 
 def with_affiliations(entities: DataFrame) -> DataFrame:
