@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from quillgraph.functions.text import name_words, names_overlap
 from quillgraph.functions.vectors import jaro_winkler
+from quillgraph.operators.tiles import best_partners, score_classes
 from quillgraph.sources.corpus import numbered
 from quillgraph.sources.staging import small_enough, stage
 
@@ -85,13 +86,15 @@ def similar_pairs(vectors: DataFrame, threshold: float, strict: bool = True, blo
 
 def nearest_pairs(vectors: DataFrame, k: int, threshold: float, strict: bool = True) -> DataFrame:
     """Of each row its ``k`` best partners of its kind above the threshold; a pair that both ends find is one."""
-    pairs = similar_pairs(vectors, threshold, strict)
-    both = pairs.select("kind", F.col("id1").alias("id"), F.col("id2").alias("other"), "score").union(pairs.select("kind", F.col("id2"), F.col("id1"), "score"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
-    best = both.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = best_partners(vectors, k, threshold if strict else float(np.nextafter(threshold, -np.inf)))
     return best.groupBy("kind", F.least("id", "other").alias("id1"), F.greatest("id", "other").alias("id2")).agg(F.max("score").alias("score"))
 
 
+def _steps(score: np.ndarray, top: int) -> np.ndarray:
+    """The last of ``top`` steps from 0 to 1 that scores pass."""
+    return np.minimum(np.floor(score * top + 1e-9), top).astype(np.int64)
+
+
 def threshold_sweep(scored: DataFrame, points: int = 1000) -> DataFrame:
     """``(point, threshold, tp, predicted, actual, precision, recall)`` of ``score >= threshold`` at each of ``points`` steps from 0 to 1.
 
@@ -99,8 +102,14 @@ def threshold_sweep(scored: DataFrame, points: int = 1000) -> DataFrame:
     aggregation, whatever the number of rows. Nothing predicted has precision 1.
     """
     top = points - 1
-    bins = scored.select(F.least(F.floor(F.col("score") * top + F.lit(1e-9)), F.lit(top)).alias("bin"), F.col("truth").cast("int").alias("truth")).groupBy("bin").agg(F.count("*").alias("n"), F.sum("truth").alias("t"))
-    grid = scored.sparkSession.range(points).select(F.col("id").alias("bin"))
+    return _sweep(scored.select(F.least(F.floor(F.col("score") * top + F.lit(1e-9)), F.lit(top)).alias("bin"), F.col("truth").cast("int").alias("truth")).groupBy("bin").agg(F.count("*").alias("n"), F.sum("truth").alias("t")), points)
+
+
+def _sweep(bins: DataFrame, points: int) -> DataFrame:
+    """:func:`threshold_sweep` of ``bins(bin, n, t)``: scores of a step and the true ones among them."""
+    top = points - 1
+    grid = bins.sparkSession.range(points).select(F.col("id").alias("bin"))
+    bins = stage(bins)
     actual = bins.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("actual"))
     above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     out = grid.join(bins, "bin", "left").select("bin", F.sum(F.coalesce("t", F.lit(0))).over(above).alias("tp"), F.sum(F.coalesce("n", F.lit(0))).over(above).alias("predicted"))
@@ -108,6 +117,19 @@ def threshold_sweep(scored: DataFrame, points: int = 1000) -> DataFrame:
     return out.select(F.col("bin").alias("point"), (F.col("bin") / top).alias("threshold"), "tp", "predicted", "actual", F.coalesce(F.try_divide("tp", "predicted"), F.lit(1.0)).alias("precision"), F.coalesce(F.try_divide("tp", "actual"), F.lit(0.0)).alias("recall"))
 
 
+def pair_sweep(vectors: DataFrame, points: int = 1000) -> DataFrame:
+    """:func:`threshold_sweep` over all pairs of rows ``(id, kind, vec)``, true where their kinds are the same; no pair is listed."""
+    counts = score_classes(vectors, lambda s: _steps(s, points - 1))
+    return _sweep(counts.groupBy(F.col("class").alias("bin")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("same"), F.col("n"))).alias("t")), points)
+
+
+def kind_sweep(vectors: DataFrame, above: float, points: int = 1000) -> DataFrame:
+    """:func:`threshold_sweep` over all pairs of one kind, true where their score is above a value; no pair is listed."""
+    counts = score_classes(vectors, lambda s: _steps(s, points - 1) * 2 + (s > above), kinds=True)
+    bins = counts.select(F.floor(F.col("class") / 2).alias("bin"), "n", F.when(F.col("class") % 2 == 1, F.col("n")).alias("t"))
+    return _sweep(bins.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), points)
+
+
 def thresholds(sweep: DataFrame, precision: float = 0.98, recall: float = 0.99) -> DataFrame:
     """``(auto_match, auto_reject)``: the least threshold of such precision and any recall, the greatest of such recall; null without one."""
     return sweep.agg(F.min(F.when((F.col("precision") >= precision) & (F.col("recall") > 0), F.col("threshold"))).alias("auto_match"), F.max(F.when(F.col("recall") >= recall, F.col("threshold"))).alias("auto_reject"))
