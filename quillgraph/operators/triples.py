@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text
 from quillgraph.operators.evaluation import assigned, guarded, max_pool, prf, ranked
 from quillgraph.sources.corpus import Ontology
+from quillgraph.sources.staging import stage
 
 PAIR_KEYS = ["entity_label_1", "evidence_1", "entity_label_2", "evidence_2"]
 
@@ -43,10 +44,13 @@ def annotation_sample(relations: DataFrame, entities: DataFrame, mails: DataFram
     sources = relations.where("source <> 'header'").select("source").distinct().join(mails.select("source").distinct(), "source", "left_semi")
     drawn = sources.orderBy(F.xxhash64(F.lit(seed), "source"), "source").limit(n)
     named = named_entities(entities).select("id", "label")
-    own = relations.join(drawn, "source", "left_semi").join(named.toDF("start", "subject"), "start").join(named.toDF("end", "object"), "end")
-    texts = mails.groupBy("source").agg(F.min("text").alias("text"))
+    # At most ``n`` mails: sent to the relations, each text made a cell once; rows get it last, when nothing is shuffled any more.
+    drawn = stage(drawn)
+    texts = mails.join(F.broadcast(drawn), "source", "left_semi").groupBy("source").agg(text.one_line(F.min("text")).alias("full_email_context"))
+    own = relations.select("source", "start", "end", "relation", "context").join(F.broadcast(drawn), "source", "left_semi")
+    met = own.join(named.toDF("start", "subject"), "start").join(named.toDF("end", "object"), "end")
     evidence = F.replace(F.replace(F.coalesce("context", F.lit("")), F.lit('"'), F.lit("'")), F.lit("\n"), F.lit(" "))
-    return own.join(texts, "source", "left").select("subject", F.col("relation").alias("predicate"), "object", evidence.alias("evidence_sentence"), text.one_line(F.col("text")).alias("full_email_context"), F.col("source").alias("original_source_id"))
+    return met.join(F.broadcast(stage(texts)), "source").select("subject", F.col("relation").alias("predicate"), "object", evidence.alias("evidence_sentence"), "full_email_context", F.col("source").alias("original_source_id"))
 
 
 def cell(c: Column | str) -> Column:

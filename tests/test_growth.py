@@ -87,3 +87,13 @@ def test_no_query_lists_all_pairs(spark, monkeypatch, name):
 
     monkeypatch.setattr(er, "_block_products", listed)
     assert catalogue.queries()[name](spark, SF).columns
+
+
+def test_a_mail_is_made_a_cell_once(spark):
+    relations = spark.createDataFrame([(i, "p", "s", "r", 'say "x"\n', f"m{i % 3}" if i % 4 else "header") for i in range(40)], "rid int, start string, end string, relation string, context string, source string")
+    entities = spark.createDataFrame([("p", "Paper", {"paperTitle": "P"}, 1), ("s", "Person", {"personName": "S"}, 1)], "id string, type string, props map<string,string>, rid int")
+    mails = spark.createDataFrame([("m0", 'a "b"\nc'), ("m0", "z"), ("m1", None), ("m9", "x")], "source string, text string")
+    got = tr.annotation_sample(relations, entities, mails, n=5)
+    assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {0: "a 'b' [NEWLINE] c", 1: ""}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(("P", "r", "S", "say 'x' ", want[i % 3], f"m{i % 3}") for i in range(40) if i % 4 and i % 3 < 2)
