@@ -97,3 +97,25 @@ def test_a_mail_is_made_a_cell_once(spark):
     assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
     want = {0: "a 'b' [NEWLINE] c", 1: ""}
     assert sorted(tuple(r) for r in got.collect()) == sorted(("P", "r", "S", "say 'x' ", want[i % 3], f"m{i % 3}") for i in range(40) if i % 4 and i % 3 < 2)
+
+
+def test_jaro_winkler_of_blocks():
+    rng = random.Random(4)
+    for head in ("", "Customer#0"):
+        texts = [head + t for t in ["", "a", "martha", "marhta", "dixon", "dicksonx", "日本語", "日語本", "x" * 50] + ["".join(rng.choice("abcé") for _ in range(rng.randint(0, 12))) for _ in range(60)]]
+        got = vectors.jaro_winkler_table(pa.array(texts), pa.array(texts[::-1]))
+        want = [[vectors.jaro_winkler_of(a, b) for b in texts[::-1]] for a in texts]
+        assert np.abs(got - np.array(want)).max() < 1e-12
+
+
+@pytest.mark.parametrize("block", [5, None])
+def test_gated_pairs_as_of_a_join(spark, block):
+    rng = random.Random(8)
+    rows = [(rng.randrange(200), rng.choice(["g", "h", None]), rng.choice(["Person", "Task", None]), rng.choice(["martha", "marhta", "marta", "x" * 70, "x" * 69 + "y", "", None])) for _ in range(90)]
+    df = spark.createDataFrame(rows, "id int, grp string, kind string, name string")
+
+    def alike(kind, a, b):
+        return kind == "Task" or kind == "Person" and a is not None and b is not None and vectors.jaro_winkler_of(a, b) >= 0.92
+
+    want = sorted((i, j) for i, g, k, a in rows for j, h, _, b in rows if g is not None and g == h and i < j and alike(k, a, b))
+    assert sorted(tuple(r) for r in er.gated_pairs(df, block=block).collect()) == want and len(want) > 300
