@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgraph.operators.tiles import matrix
 
 def guarded(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(empty))
@@ -100,6 +101,76 @@ def best_assignment(value: np.ndarray) -> list[tuple[int, int]]:
     return sorted((j, i) if flip else (i, j) for i, j in pairs)
 
 
+#: Cells of a matrix of values up to which it is kept; larger ones are computed row by row as they are needed.
+DENSE = 1 << 20
+
+
+def best_partners_of(x: np.ndarray, y: np.ndarray, dense: int = DENSE) -> list[tuple[int, int]]:
+    """:func:`best_assignment` of ``x @ y.T``, in memory that grows with the rows and not with their product.
+
+    Free rows bid for their best column by as much as it is better than their second
+    best, many rows at once; a column goes to the highest bid, and its former row
+    is free again. The prices stay optimal for the rows that have a column, and
+    what bids don't settle is settled by shortest augmenting paths as there.
+    """
+    if len(x) * len(y) <= dense:
+        return best_assignment(x @ y.T)
+    flip = len(x) > len(y)
+    if flip:
+        x, y = y, x
+    n, m = len(x), len(y)
+    v, owner, mate = np.zeros(m), np.full(m + 1, -1), np.full(n, -1)
+    light = np.ascontiguousarray(y.T)
+    some = max(1, (1 << 22) // m)
+    free, rounds, bids = np.arange(n), 0, 0
+    while len(free) > max(8, n // 200) and rounds < 4000 and bids < 40 * n:
+        rounds += 1
+        bidders = free[:some]
+        bids += len(bidders)
+        cost = -(x[bidders] @ light) - v
+        at = np.arange(len(bidders))
+        best = cost.argmin(axis=1)
+        low = cost[at, best].copy()
+        cost[at, best] = np.inf
+        gain = cost.min(axis=1) - low
+        order = np.lexsort((bidders, -gain, best))
+        won = order[np.unique(best[order], return_index=True)[1]]
+        col, row = best[won], bidders[won]
+        gone = owner[col]
+        mate[gone[gone >= 0]] = -1
+        v[col] -= gain[won]
+        owner[col], mate[row] = row, col
+        # Rows that were outbid go to the end, so that all have their turn.
+        free = np.concatenate([free[some:], bidders[mate[bidders] < 0], gone[gone >= 0]])
+    v = np.append(v, 0.0)
+    u = np.zeros(n)
+    for i in np.flatnonzero(mate >= 0):
+        u[i] = -(x[i] @ y[mate[i]]) - v[mate[i]]
+    for i in np.flatnonzero(mate < 0):
+        owner[m], at = i, m
+        least, via, done = np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, bool)
+        u[i] = (-(x[i] @ light) - v[:m]).min()
+        behind, reached = 0.0, []
+        while owner[at] >= 0:
+            done[at] = True
+            row = owner[at]
+            reduced = -(x[row] @ light) - u[row] - v[:m] + behind
+            better = ~done[:m] & (reduced < least)
+            least[better], via[better] = reduced[better], at
+            reached.append((at, behind))
+            at = int(np.argmin(np.where(done[:m], np.inf, least)))
+            behind = float(least[at])
+        for j, far in reached:
+            u[owner[j]] += behind - far
+            v[j] -= behind - far
+        v[m] = 0.0
+        while at != m:
+            owner[at] = owner[via[at]]
+            at = int(via[at])
+    pairs = [(int(owner[j]), j) for j in range(m) if owner[j] >= 0]
+    return sorted((j, i) if flip else (i, j) for i, j in pairs)
+
+
 def assigned(gold: DataFrame, pred: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``(grp, gold_id, pred_id, similarity)`` of the best one-to-one assignment per group, by cosine, at the threshold or above.
 
@@ -112,10 +183,11 @@ def assigned(gold: DataFrame, pred: DataFrame, threshold: float = 0.8) -> DataFr
         a, b = t.filter(pc.field("pred_id").is_null()).sort_by("gold_id"), t.filter(pc.field("pred_id").is_valid()).sort_by("pred_id")
         keep: list[tuple[int, int]] = []
         if len(a) and len(b):
-            x, y = (np.stack([np.asarray(v, float) for v in side.column("vec").to_pylist()]) for side in (a, b))
+            x, y = (matrix(side.column("vec")) for side in (a, b))
             x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
-            sim = x @ y.T
-            keep = [(i, j) for i, j in best_assignment(sim) if sim[i, j] >= threshold]
+            found = best_partners_of(x, y)
+            sim = {(i, j): float(x[i] @ y[j]) for i, j in found}
+            keep = [k for k in found if sim[k] >= threshold]
         i, j = (pa.array([k[side] for k in keep], pa.int64()) for side in (0, 1))
         return pa.table({"grp": a.column("grp").take(i), "gold_id": a.column("gold_id").take(i), "pred_id": b.column("pred_id").take(j), "similarity": pa.array([float(sim[k]) for k in keep], pa.float64())})
 

@@ -119,3 +119,24 @@ def test_gated_pairs_as_of_a_join(spark, block):
 
     want = sorted((i, j) for i, g, k, a in rows for j, h, _, b in rows if g is not None and g == h and i < j and alike(k, a, b))
     assert sorted(tuple(r) for r in er.gated_pairs(df, block=block).collect()) == want and len(want) > 300
+
+
+def test_assignment_without_the_whole_matrix(spark):
+    rng = np.random.default_rng(3)
+    for shape in ((3, 3), (40, 50), (50, 40), (120, 121), (1, 9), (0, 4), (300, 310)):
+        x, y = rng.normal(size=(shape[0], 6)), rng.normal(size=(shape[1], 6))
+        assert ev.best_partners_of(x, y, 0) == ev.best_assignment(x @ y.T)
+    same = np.ones((30, 2))
+    assert sorted(i for i, _ in ev.best_partners_of(same, same, 0)) == list(range(30))
+
+
+def test_assignment_takes_memory_by_rows():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(6000, 24)), rng.normal(size=(6100, 24))
+    tracemalloc.start()
+    assert len(ev.best_partners_of(x, y)) == 6000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6000 * 6100 * 8 * 0.75
